@@ -50,10 +50,10 @@ def fit_frequent(df: DataFrame, columns: Sequence[str], at_least: int) -> Fitted
 
 
 def _fold(df: DataFrame, columns: Sequence[str], frequent: Fitted, fill: str, fold_null: bool) -> DataFrame:
-    names = df.columns
+    names, base = df.columns, df
     for c in columns:
         table = frequent.rows.filter(F.col("column") == c).select(F.col("value").alias(c), "_frequent")
-        df = attach(df, Fitted(table, frequent.small), c, "left")
+        df = attach(df, Fitted(table, frequent.small), c, "left", base.select(c))
         keep = F.col("_frequent").isNotNull()
         if not fold_null:
             keep = keep | F.col(c).isNull()
@@ -107,13 +107,15 @@ def label_encode(
     """
     columns = [c for c in df.columns if c in set(columns)]
     labels = labels or fit_labels(df, columns)
-    names = df.columns
+    names, base = df.columns, df
     for c in columns:
         table = labels.rows.filter(F.col("column") == c).select(
             F.col("value").alias("_code"), F.col("_label").cast(kind).alias("_label")
         )
-        df = df.withColumn("_code", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-        df = attach(df, Fitted(table, labels.small), "_code", "left")
+        code = F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("_code")
+        df = attach(
+            df.select("*", code), Fitted(table, labels.small), "_code", "left", base.select(code)
+        )
         df = df.withColumn(c, F.col("_label")).drop("_code", "_label")
     return df.select(*names)
 
@@ -253,14 +255,16 @@ def encode_pairs(
         df.select(F.inline(F.array(*rows))).groupBy("_pair", "_key").agg(*_target_stats(targets))
     )
     priors = _priors(table.rows.filter(F.col("_pair") == 0), targets)
-    names = df.columns
+    names, base = df.columns, df
     encoded = []
     for i, (g, e) in enumerate(pairs):
         stem = f"{encoded_name(g)}_{encoded_name(e)}_te"
         values = [_smoothed(t, priors[t], k, f, True).alias(f"{stem}_{t}") for t in targets]
         one = table.rows.filter(F.col("_pair") == i).select(F.col("_key").alias("_pair_key"), *values)
-        df = df.withColumn("_pair_key", fc.text_key(F.col(e), F.col(g)))
-        df = attach(df, Fitted(one, table.small), "_pair_key").drop("_pair_key")
+        key = fc.text_key(F.col(e), F.col(g)).alias("_pair_key")
+        df = attach(
+            df.select("*", key), Fitted(one, table.small), "_pair_key", probe=base.select(key)
+        ).drop("_pair_key")
         encoded += [f"{stem}_{t}" for t in targets]
     return df.select(*names, *encoded)
 

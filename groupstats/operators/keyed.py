@@ -93,6 +93,7 @@ def append_slot_scores(
     set and target.
     """
     fitted = fitted or fit_slot_scores(df, slots, keys, targets)
+    base = df
     scores = []
     for slot in slots:
         for parts in keys:
@@ -102,8 +103,10 @@ def append_slot_scores(
                 F.col("_key").alias(f"_key{tag}"),
                 *[F.col(f"_{m}_{t}").alias(f"_{m}{tag}_{t}") for m in ("avg", "std") for t in targets],
             )
-            df = df.withColumn(f"_key{tag}", _slot_key(slot, parts))
-            df = attach(df, Fitted(table, fitted.small), f"_key{tag}").drop(f"_key{tag}")
+            key = _slot_key(slot, parts).alias(f"_key{tag}")
+            df = attach(
+                df.select("*", key), Fitted(table, fitted.small), f"_key{tag}", probe=base.select(key)
+            ).drop(f"_key{tag}")
             for t in targets:
                 z = fc.standard_score(
                     F.col(f"{slot}_{t}"), F.col(f"_avg{tag}_{t}"), F.col(f"_std{tag}_{t}"), floor

@@ -146,7 +146,8 @@ def slot_ratio(spark, folder):
         "pre1_HeadCount", "pre2_HeadCount",
     )
     out = features.append_ratios(df)
-    return _round(out.select("event_id", *out.columns[len(df.columns):]), out.columns[len(df.columns):])
+    ratios = out.columns[len(df.columns):]
+    return _round(out.select("event_id", *ratios), ratios, 8)
 
 
 @query

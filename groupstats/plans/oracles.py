@@ -169,9 +169,9 @@ ORACLES["slot_agg3"] = s(
     f"{_three('FinishingTime')}, {_three('Weight')}, pre1_RaceID, pre2_RaceID, pre3_RaceID"
 )
 ORACLES["slot_ratio"] = s(
-    ", ".join(r(f"pre{i}_FinishingTime / nullif(pre{i}_Distance, 0)", f"pre{i}_Speed") for i in (1, 2, 3))
+    ", ".join(r(f"pre{i}_FinishingTime / nullif(pre{i}_Distance, 0)", f"pre{i}_Speed", 8) for i in (1, 2, 3))
     + ", "
-    + ", ".join(r(f"pre{i}_OrderOfFinish / nullif(pre{i}_HeadCount, 0)", f"pre{i}_OofRatio") for i in (1, 2))
+    + ", ".join(r(f"pre{i}_OrderOfFinish / nullif(pre{i}_HeadCount, 0)", f"pre{i}_OofRatio", 8) for i in (1, 2))
 )
 _FIRST = "coalesce(nullif(pre{0}_Pass1, 0), nullif(pre{0}_Pass2, 0), nullif(pre{0}_Pass3, 0))"
 ORACLES["first_corner"] = s(

@@ -73,10 +73,14 @@ def find_heavy(df: DataFrame, keys: str | Sequence[str]) -> Heavy:
 
 
 def split_heavy(df: DataFrame, heavy: Heavy) -> tuple[DataFrame, DataFrame]:
-    """Rows of heavy keys, and all other rows."""
+    """Rows of heavy keys, and all other rows.
+
+    The heavy rows are checkpointed. So ``df`` is planned once, for the other
+    rows, and a chain of operators grows by one branch each instead of doubling.
+    """
     probe = F.broadcast(_prefixed(heavy.rows, heavy.keys))
     match = _same_keys(df, probe, heavy.keys)
-    return df.join(probe, match, "left_semi"), df.join(probe, match, "left_anti")
+    return cut_lineage(df.join(probe, match, "left_semi")), df.join(probe, match, "left_anti")
 
 
 # ------------------------------------------------------------ group statistics
@@ -140,17 +144,22 @@ def freeze(table: DataFrame) -> Fitted:
 
 
 def attach(
-    df: DataFrame, fitted: Fitted, keys: str | Sequence[str], how: str = "inner"
+    df: DataFrame,
+    fitted: Fitted,
+    keys: str | Sequence[str],
+    how: str = "inner",
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join rows to a fitted table with one row per key.
 
-    A small table is broadcast. Against a large one, heavy keys of ``df`` are
-    joined by broadcast of just their rows and the rest by shuffle.
+    A small table is broadcast. Against a large one, heavy keys are joined by
+    broadcast of just their rows and the rest by shuffle. Heavy keys are looked
+    for in ``probe``, a narrower frame with the same keys, if there is one.
     """
     keys = as_list(keys)
     if fitted.small:
         return df.join(F.broadcast(fitted.rows), keys, how)
-    heavy = find_heavy(df, keys)
+    heavy = find_heavy(df if probe is None else probe, keys)
     if heavy.rows is None:
         return df.join(fitted.rows, keys, how)
     large, rest = split_heavy(df, heavy)
