@@ -34,10 +34,8 @@ def append_group_fold(
 ) -> DataFrame:
     """Fold number of each group: equal chunks of the shuffled groups, rest to the last fold."""
     ids = df.select(group).filter(F.col(group).isNotNull()).distinct()
-    chunk = ids.count() // folds
-    # with fewer groups than folds every chunk is empty but the last
-    cuts = hash_cuts(ids, [group], seed, [chunk * i for i in range(1, folds)]) if chunk else []
-    fold = _cuts_passed(hash_of([group], seed), cuts) if chunk else F.lit(folds - 1)
+    cuts = hash_cuts(ids, [group], seed, lambda n: [n // folds * i for i in range(1, folds)])
+    fold = _cuts_passed(hash_of([group], seed), cuts)
     return df.withColumn(name, F.when(F.col(group).isNotNull(), fold))
 
 
@@ -46,12 +44,13 @@ def append_row_fold(
 ) -> DataFrame:
     """Fold number of each row: chunks of the shuffled rows whose sizes differ by at most one."""
     ids = as_list(entry)
-    rows = df.count()
-    size, more = divmod(rows, folds)
-    ends = [size * i + min(i, more) for i in range(1, folds)]
-    cuts = hash_cuts(df, ids, seed, [e for e in ends if e > 0])
-    early = sum(e == 0 for e in ends)
-    return df.withColumn(name, _cuts_passed(hash_of(ids, seed), cuts) + early)
+
+    def ends(rows: int) -> list[int]:
+        size, more = divmod(rows, folds)
+        return [size * i + min(i, more) for i in range(1, folds)]
+
+    cuts = hash_cuts(df, ids, seed, ends)
+    return df.withColumn(name, _cuts_passed(hash_of(ids, seed), cuts))
 
 
 def fold_frames(df: DataFrame, fold: int, column: str = "fold") -> tuple[DataFrame, DataFrame]:

@@ -556,7 +556,7 @@ def _padded(spark, folder):
 
 def _as_text(values: Column) -> Column:
     """Array as text in millionths."""
-    return F.array_join(F.transform(values, lambda v: F.round(v * 1000000).cast("long")), ",")
+    return F.array_join(F.transform(values, lambda v: F.floor(v * 1000000 + 0.5)), ",")
 
 
 @query

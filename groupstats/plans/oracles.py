@@ -9,7 +9,7 @@ ENTRIES = """
 WITH e AS (
   SELECT *,
     l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
-      || round(l_extendedprice * 100)::BIGINT || '-' || l_shipdate::DATE AS entry_id,
+      || floor(l_extendedprice * 100 + 0.5)::BIGINT || '-' || date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS entry_id,
     CASE WHEN l_tax = 0 THEN 0.0::DOUBLE ELSE l_extendedprice END AS "time",
     nullif(l_quantity, 30) - 2 AS odds,
     l_linenumber AS finish,
@@ -61,8 +61,9 @@ SLOTS = (
 
 
 def r(sql: str, name: str | None = None, digits: int = 6) -> str:
-    """Rounded value without a negative zero."""
-    return f"round({sql}, {digits}) + 0.0" + (f" AS {name}" if name else "")
+    """Value cut to ``digits`` decimals."""
+    scale = f"1e{digits}::DOUBLE"
+    return f"floor(({sql}) * {scale} + 0.5) / {scale}" + (f" AS {name}" if name else "")
 
 
 def z(value: str, over: str, floor: str | None) -> str:
@@ -525,7 +526,7 @@ ORACLES["pad_groups"] = (
 
 
 def _millionths(value: str) -> str:
-    return f"round({value} * 1000000)::BIGINT"
+    return f"floor({value} * 1000000 + 0.5)::BIGINT"
 
 
 ORACLES["group_tensor"] = (
@@ -597,13 +598,13 @@ ORACLES["fold_summary"] = (
 ORACLES["threshold_sweep"] = (
     f"{ENTRIES}, c AS (SELECT i / 50.0::DOUBLE AS cutoff FROM range(50) t(i)), "
     "m AS (SELECT min(pred) AS lo, max(pred) AS hi FROM e) "
-    "SELECT round(cutoff, 6) + 0.0 AS cutoff, count(pred) AS buys, "
+    f"SELECT {r('cutoff', 'cutoff')}, count(pred) AS buys, "
     + ", ".join(
         r(f"sum(is_{n}) / nullif(count(pred), 0)::DOUBLE", f"{n}_hit") + ", "
         + r(f"sum(coalesce(pay_{n}, 0)) / nullif(count(pred) * 100, 0)", f"{n}_return")
         for n in _REPORT
     )
-    + ", round(any_value(lo), 6) + 0.0 AS min_pred, round(any_value(hi), 6) + 0.0 AS max_pred "
+    + f", {r('any_value(lo)', 'min_pred')}, {r('any_value(hi)', 'max_pred')} "
     "FROM c CROSS JOIN m LEFT JOIN e ON pred > cutoff GROUP BY cutoff"
 )
 ORACLES["buy_skip_report"] = (

@@ -18,8 +18,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rounded(column: Column | str, digits: int = 6) -> Column:
-    """Rounded double: sums depend on the order of their terms."""
-    return F.round(F.col(column) if isinstance(column, str) else column, digits)
+    """Double cut to ``digits`` decimals: sums depend on the order of their terms."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.floor(column * 10.0**digits + 0.5) / 10.0**digits
 
 
 def heavy_orders(spark: SparkSession, folder: str) -> Heavy:
@@ -40,14 +41,14 @@ def entries(spark: SparkSession, folder: str, orders: bool = False, parts: bool
     if orders:
         order = table(spark, folder, "orders")
         df = df.join(order, df.l_orderkey == order.o_orderkey)
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     ticks = F.col("l_quantity").cast("int") * 7 + F.col("l_linenumber") * 3
     win = F.when(F.col("l_discount") >= 0.08, F.col("l_extendedprice") * F.col("l_discount"))
     place = F.when(F.col("l_discount") >= 0.05, F.col("l_extendedprice") * F.col("l_tax"))
     added = {
         ENTRY: F.concat_ws(
             "-", GROUP, "l_linenumber", "l_partkey", "l_suppkey", cents,
-            F.col("l_shipdate").cast("date"),
+            F.unix_date(F.col("l_shipdate").cast("date")),
         ),
         "time": F.when(F.col("l_tax") == 0, 0.0).otherwise(F.col("l_extendedprice")),
         "odds": F.nullif(F.col("l_quantity"), F.lit(30)) - 2,

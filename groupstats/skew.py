@@ -10,7 +10,7 @@ shuffle path, where by counting none of them can hold more than
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -234,32 +234,40 @@ def hash_of(columns: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def hash_cuts(ids: DataFrame, columns: Sequence[str], seed: int, ranks: Sequence[int]) -> list[str]:
+def hash_cuts(
+    ids: DataFrame,
+    columns: Sequence[str],
+    seed: int,
+    ranks: Sequence[int] | Callable[[int], Sequence[int]],
+) -> list[str]:
     """The digests at the given 1-based ranks of the hash order of ``ids``.
 
+    Ranks may be a function of the number of ids. A rank below 1 gives a text
+    before, one past the last id a text after every digest.
+
     Exact and without a global sort: count ids per hash range, find the range
     that holds each rank, and number only the ids of those ranges. What comes
     back to the driver is one count per range and one digest per rank. With a
     digest in hand, "the first n ids" is a comparison on each row.
     """
-    if not ranks:
-        return []
     hashed = ids.select(hash_of(columns, seed).alias("_hash"))
     prefix = F.substring("_hash", 1, HASH_PREFIX)
-    counts = {
-        r["_range"]: r["_rows"]
-        for r in hashed.groupBy(prefix.alias("_range"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .toLocalIterator()
-    }
+    sizes = hashed.groupBy(prefix.alias("_range")).agg(F.count(F.lit(1)).alias("_rows")).toArrow()
+    counts = dict(zip(sizes["_range"].to_pylist(), sizes["_rows"].to_pylist()))
+    if callable(ranks):
+        ranks = ranks(sum(counts.values()))
+    by_rank = sorted((rank, slot) for slot, rank in enumerate(ranks))
     wanted: dict[str, list[tuple[int, int]]] = {}
-    before = 0
+    before = done = 0
     for bucket in sorted(counts):
-        for slot, rank in enumerate(ranks):
-            if before < rank <= before + counts[bucket]:
+        end = before + counts[bucket]
+        while done < len(by_rank) and by_rank[done][0] <= end:
+            rank, slot = by_rank[done]
+            if rank > 0:
                 wanted.setdefault(bucket, []).append((slot, rank - before))
-        before += counts[bucket]
-    cuts = [PAST_LAST] * len(ranks)
+            done += 1
+        before = end
+    cuts = [PAST_LAST if rank > 0 else "" for rank in ranks]
     if not wanted:
         return cuts
     spark = ids.sparkSession
