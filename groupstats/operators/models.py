@@ -8,17 +8,18 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupstats.operators.evaluate import fold_summary, top1_report
 from groupstats.operators.splits import fold_frames
 
+MISSING = "-1e9D"
 METRICS = ["win_hit", "place_hit", "win_return", "place_return"]
 
 
@@ -37,10 +38,15 @@ class Boosting:
         learner = kind(featuresCol="_features", labelCol=self.label, **params)
         if validation:
             learner.setValidationIndicatorCol(validation)
+        filled = ", ".join(
+            f"coalesce(cast(`{f}` AS double), {MISSING}) AS `_in_{f}`" for f in self.features
+        )
+        # trees take no missing values: they get a value of their own that a split can tell apart
+        fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
         assembler = VectorAssembler(
-            inputCols=list(self.features), outputCol="_features", handleInvalid="keep"
+            inputCols=[f"_in_{f}" for f in self.features], outputCol="_features"
         )
-        return Pipeline(stages=[assembler, learner])
+        return Pipeline(stages=[fill, assembler, learner])
 
     def evaluator(self):
         if self.objective == "binary":
@@ -73,8 +79,6 @@ def score(model: PipelineModel, df: DataFrame, name: str = "pred") -> DataFrame:
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """(feature, importance), one row per input column of the model."""
     weights = model.stages[-1].featureImportances.toArray()
-    from pyspark.sql import SparkSession
-
     rows = [(f, float(w)) for f, w in zip(features, weights)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
