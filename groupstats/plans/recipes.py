@@ -1,7 +1,8 @@
 """The three end-to-end runs over the entry table, as staged runs.
 
 ``entry`` is the unique id of an entry; it is carried along and never a
-feature. Column names are those of the entry table.
+feature. Column names are those of the entry table. Heavy groups are looked
+for once per run, on the input: later stages only take rows away.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from groupstats.operators import (
     columns, encode, features, filters, groups, keyed, models, nulls, ranks, reshape, scaling, splits, targets,
 )
 from groupstats.plans.stages import StagedRun
+from groupstats.skew import find_heavy
 
 GROUP = "hi_RaceID"
 COMBINED_ENTRY_CODES = ("hi_RunningStyle", "hi_SexCode")
@@ -53,14 +55,15 @@ def boosted_tree_rows(
     """Training rows of the tree models: targets, encoded codes, features."""
     codes = [*codes, *fixed.DERIVED_CODES]
     keys = [GROUP, entry]
+    heavy = find_heavy(df, GROUP)
 
     def prepare(df: DataFrame) -> DataFrame:
         df = filters.without_codes(df, "hi_ConditionClass")
         df = filters.only_code(features.append_classes(df), "distance_category", category)
-        df = ranks.append_popularity(df, GROUP, entry=entry)
-        df = targets.append_targets(df)
+        df = ranks.append_popularity(df, GROUP, entry=entry, heavy=heavy)
+        df = targets.append_targets(df, heavy=heavy)
         df = df.withColumn("hi_RunningStyle", fc.recode(F.col("hi_RunningStyle"), "8s", "s"))
-        return _shared_preparation(groups.append_code_shares(df, GROUP))
+        return _shared_preparation(groups.append_code_shares(df, GROUP, heavy=heavy))
 
     def text_codes(df: DataFrame) -> list[str]:
         return _features(df, codes, keys)[0]
@@ -72,7 +75,7 @@ def boosted_tree_rows(
         df = features.append_corners(keyed.append_slot_scores(features.append_ratios(df)))
         df = features.append_deltas(features.roll_up_career(df))
         df = features.summarise_slots(df, codes)
-        df = groups.append_group_zscore(df, GROUP, _features(df, codes, keys)[1])
+        df = groups.append_group_zscore(df, GROUP, _features(df, codes, keys)[1], heavy=heavy)
         return encode.encode_pairs(df)
 
     run = StagedRun(folder)
@@ -81,7 +84,7 @@ def boosted_tree_rows(
     run.add(lambda df: encode.label_encode(df, text_codes(df)), name="labels")
     run.add(columns.drop_listed, {"columns": [c for c in removes if c not in keys]}, name="remove")
     run.add(engineer, name="features")
-    run.add(groups.drop_groups_without, {"group": GROUP}, name="complete_groups")
+    run.add(groups.drop_groups_without, {"group": GROUP, "heavy": heavy}, name="complete_groups")
     rows = filters.with_label(run.fit_gene(columns.sort_columns(df)), ["margin"])
     return rows.withColumn("margin", fc.log_shifted(F.col("margin")))
 
@@ -117,26 +120,29 @@ def tensor_groups(
     """Training and test groups as fixed-width arrays."""
     codes = [*codes, *fixed.DERIVED_CODES]
     keys = [GROUP, entry]
+    heavy = find_heavy(df, GROUP)
 
     def prepare(df: DataFrame) -> DataFrame:
         df = filters.with_label(df, [GROUP, "hr_OrderOfFinish"], nonzero=["hr_OrderOfFinish"])
-        df = filters.without_codes(targets.append_targets(df), "hi_ConditionClass")
+        df = filters.without_codes(targets.append_targets(df, heavy=heavy), "hi_ConditionClass")
         df = _shared_preparation(features.append_classes(df))
-        return groups.append_code_shares(df, GROUP)
+        return groups.append_code_shares(df, GROUP, heavy=heavy)
 
     def fill(df: DataFrame) -> DataFrame:
         text, numbers = _features(df, codes, keys)
         numbers = [c for c in numbers if c not in fixed.PROCESS_FEATURES]
-        return nulls.fill_group(df, GROUP, numbers, [c for c in text if dict(df.dtypes)[c] == "string"])
+        text = [c for c in text if dict(df.dtypes)[c] == "string"]
+        return nulls.fill_group(df, GROUP, numbers, text, heavy=heavy)
 
     def labels(df: DataFrame) -> DataFrame:
         text = _features(df, codes, keys)[0]
-        return encode.label_encode(encode.fold_few(columns.cast_columns(df, text, "string"), text, GROUP, few_below), text)
+        df = columns.cast_columns(df, text, "string")
+        return encode.label_encode(encode.fold_few(df, text, GROUP, few_below), text)
 
     def engineer(df: DataFrame) -> DataFrame:
         df = features.append_corners(features.append_ratios(df))
         df = features.append_deltas(features.roll_up_career(df))
-        return groups.append_group_zscore(df, GROUP, _features(df, codes, keys)[1])
+        return groups.append_group_zscore(df, GROUP, _features(df, codes, keys)[1], heavy=heavy)
 
     def normalize(df: DataFrame) -> DataFrame:
         numbers = [c for c in _features(df, codes, keys)[1] if c not in fixed.PROCESS_FEATURES]
@@ -180,10 +186,11 @@ def policy_groups(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training rows, test rows and code sizes of the buy/skip policy."""
     keys = [GROUP, entry]
+    heavy = find_heavy(df, GROUP)
 
     def prepare(df: DataFrame) -> DataFrame:
         df = features.append_missing_flags(nulls.null_count(df))
-        df = groups.append_code_shares(features.roll_up_career(df), GROUP)
+        df = groups.append_code_shares(features.roll_up_career(df), GROUP, heavy=heavy)
         return features.append_deltas(features.append_corners(features.append_elapsed_days(df)))
 
     def fill(df: DataFrame) -> DataFrame:
@@ -198,7 +205,8 @@ def policy_groups(
         )
 
     def normalize(df: DataFrame) -> DataFrame:
-        return groups.mixed_normalize(df, GROUP, [*_features(df, codes, keys)[0], entry])
+        text = _features(df, codes, keys)[0]
+        return groups.mixed_normalize(df, GROUP, [*text, entry], heavy=heavy)
 
     run = StagedRun(folder)
     run.add(prepare, name="preprocess1")
@@ -210,5 +218,5 @@ def policy_groups(
     rows = run.fit_gene(filters.from_year(df, since))
     parts = splits.split_by_year(rows, split_year)
     sizes = encode.embedding_widths(encode.max_codes(parts, _features(rows, codes, keys)[0]))
-    train, test = (groups.drop_groups_zero_sum(p, GROUP, target) for p in parts)
+    train, test = (groups.drop_groups_zero_sum(p, GROUP, target, heavy) for p in parts)
     return train, test, sizes
