@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -192,22 +193,24 @@ def pairwise_cross_entropy(tensors: DataFrame, group: str, pred: str, label: str
     inside one bounded row.
     """
 
+    lowest = math.log(SMALLEST_PROBABILITY)
+
     def entropy(a: Column, b: Column) -> Column:
-        p = fc.logistic(a[pred] - b[pred])
-        t = fc.logistic(a[label] - b[label])
-        return -t * F.log(_probability(p)) - (1 - t) * F.log(_probability(1 - p))
+        gap = a[pred] - b[pred]
+        first = fc.logistic(a[label] - b[label])
+        log_first = -F.log1p(F.exp(-gap))  # log of the logistic of the gap
+        return -first * F.greatest(log_first, F.lit(lowest)) - (1 - first) * F.greatest(
+            log_first - gap, F.lit(lowest)
+        )
 
-    rows = F.arrays_zip(F.col(pred), F.col(label))
     width = F.size(pred)
-    places = F.sequence(F.lit(1), width)
 
-    def against_later(i: Column) -> Column:
-        return _sum_over(
-            F.slice("_rows", i + 1, width), lambda b: entropy(F.element_at("_rows", i), b)
-        )
+    def against_later(a: Column, i: Column) -> Column:
+        return _sum_over(F.slice("_rows", i + 2, width), lambda b: entropy(a, b))
 
-    return tensors.withColumn("_rows", rows).select(
-        group, (_sum_over(places, against_later) / width).alias("loss")
+    per_entry = F.transform("_rows", against_later)
+    return tensors.withColumn("_rows", F.arrays_zip(pred, label)).select(
+        group, (_sum_over(per_entry, lambda v: v) / width).alias("loss")
     )
 
 
