@@ -1,6 +1,5 @@
 """Declared schemas, scans, sinks, staged runs, streaming and models."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from groupstats.operators import models
