@@ -6,8 +6,8 @@ import __spark_entry__ as entry_points
 from compare import database, difference
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = {k: v for k, v in entry_points.queries().items() if k not in entry_points.TEXT_QUERIES}
+ORACLES = {k: v for k, v in entry_points.oracle_sql().items() if k not in entry_points.TEXT_ORACLES}
 ROWS_ONLY = {
     "row_split", "action_sample", "gbt_fit_score", "gbt_cv", "gbt_folds", "feature_importance", "ablation",
 }
