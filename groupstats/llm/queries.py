@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupstats.llm.packing import pack
+from groupstats.llm.simhash import near_duplicates
 from groupstats.llm.sentence_pieces import encode_pieces
 from groupstats.llm.token_counts import count_tokens
 
@@ -39,6 +40,14 @@ def op5_sentence_pieces(spark, folder):
     )
 
 
+@query
+def op6_simhash(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs, shingle=3, max_bits=2).select(
+        "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op8_token_counts(spark, folder):
     docs = table(spark, folder, "documents").select(
