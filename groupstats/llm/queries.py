@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupstats.llm.packing import pack
+from groupstats.llm.repeats import remove_repeats
 from groupstats.llm.simhash import near_duplicates
 from groupstats.llm.sentence_pieces import encode_pieces
 from groupstats.llm.token_counts import count_tokens
@@ -61,3 +62,15 @@ def op8_token_counts(spark, folder):
 def op9_packing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, closing_id=2)
+
+
+@query
+def op10_repeats(spark, folder):
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    )
+    return remove_repeats(docs, width=100).select(
+        "doc_id", "n_bytes", "n_removed",
+        (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
