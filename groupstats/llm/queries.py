@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupstats.llm.packing import pack
@@ -13,6 +13,7 @@ from groupstats.llm.repeats import remove_repeats
 from groupstats.llm.simhash import near_duplicates
 from groupstats.llm.sentence_pieces import encode_pieces
 from groupstats.llm.token_counts import count_tokens
+from groupstats.llm.toxicity import score_toxicity, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +50,21 @@ def op6_simhash(spark, folder):
     )
 
 
+def in_training(id_column: str) -> Column:
+    """Rows whose label may be learnt: the CRC-32 of the id, as text, leaves another remainder by 4 than 2."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 != 2
+
+
+@query
+def op7_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, folder, "labels"), in_training)
+    scored = score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", (~in_training("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_token_counts(spark, folder):
     docs = table(spark, folder, "documents").select(
