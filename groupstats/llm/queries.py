@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groupstats.llm.order_minhash import compare_with_edits
 from groupstats.llm.packing import pack
 from groupstats.llm.repeats import remove_repeats
 from groupstats.llm.simhash import near_duplicates
@@ -29,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_order_minhash(spark, folder):
+    return compare_with_edits(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_sentence_pieces(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
