@@ -14,6 +14,7 @@ from groupstats.llm.repeats import remove_repeats
 from groupstats.llm.simhash import near_duplicates
 from groupstats.llm.sentence_pieces import encode_pieces
 from groupstats.llm.token_counts import count_tokens
+from groupstats.llm.topk import top_k
 from groupstats.llm.toxicity import score_toxicity, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,30 @@ def op2_order_minhash(spark, folder):
     return compare_with_edits(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op4_top_k(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, "vec_id", "embedding", k=5, scale=256)
+
+
+ORACLES["op4_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    WHERE q.vec_id % 50 = 0
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op5_sentence_pieces(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
