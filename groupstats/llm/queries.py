@@ -44,13 +44,13 @@ def op4_top_k(spark, folder):
 
 ORACLES["op4_top_k"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+           CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
     WHERE q.vec_id % 50 = 0
 ), r AS (
