@@ -88,3 +88,30 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def long_field(name: str) -> StructField:
     return StructField(name, LongType())
+
+
+def word_slices(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without ASCII white space) of the texts ``data[bounds[k] : bounds[k + 1]]``.
+
+    Returns the words' bytes with A-Z in lower case and one space between words of a text, begin and end of each
+    word in them, and the number of words of each text.
+    """
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(len(bounds) - 1, np.int64)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    first = np.zeros(len(data), bool)
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = ~blank
+    starts[1:] &= blank[:-1] | first[1:]
+    kept = ~blank
+    kept[1:] |= blank[1:] & ~blank[:-1] & ~first[1:]
+    plain = data[kept]
+    plain = np.where((plain >= 65) & (plain <= 90), plain + 32, plain).astype(np.uint8)
+    place = np.cumsum(kept) - kept
+    plain[place[blank & kept]] = 32
+    ends = ~blank
+    ends[:-1] &= blank[1:] | first[1:]
+    at = np.flatnonzero(starts)
+    words = np.diff(np.searchsorted(at, bounds))
+    return plain, place[starts], place[ends] + 1, words

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from groupstats.llm.order_minhash import compare_with_edits
 from groupstats.llm.packing import pack
+from groupstats.llm.pseudo_likelihood import score_documents
 from groupstats.llm.repeats import remove_repeats
 from groupstats.llm.simhash import near_duplicates
 from groupstats.llm.sentence_pieces import encode_pieces
 from groupstats.llm.token_counts import count_tokens
 from groupstats.llm.topk import top_k
 from groupstats.llm.toxicity import score_toxicity, train_toxicity
+from groupstats.llm.wrappers import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,11 +33,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_pseudo_likelihood(spark, folder):
+    return score_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_order_minhash(spark, folder):
     return compare_with_edits(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op3_main_text(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op4_top_k(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")

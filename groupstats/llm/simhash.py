@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from groupstats.llm.batches import gather, long_field, map_batches, text_bytes, whole_text
+from groupstats.llm.batches import gather, long_field, map_batches, text_bytes, whole_text, word_slices
 from groupstats.llm.components import components
 from groupstats.llm.hashing import xxh64
 from groupstats.session import shared_folder
@@ -61,27 +61,7 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3, keep: list
 
 def simhash(data: np.ndarray, bounds: np.ndarray, shingle: int) -> np.ndarray:
     """Fingerprints of the texts ``data[bounds[k] : bounds[k + 1]]``."""
-    texts = len(bounds) - 1
-    if not len(data):
-        return np.zeros(texts, np.int64)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    first = np.zeros(len(data), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    starts = ~blank
-    starts[1:] &= blank[:-1] | first[1:]
-    # words with one space after each
-    kept = ~blank
-    kept[1:] |= blank[1:] & ~blank[:-1] & ~first[1:]
-    plain = data[kept]
-    plain = np.where((plain >= 65) & (plain <= 90), plain + 32, plain).astype(np.uint8)
-    place = np.cumsum(kept) - kept
-    plain[(place[blank & kept])] = 32
-    begin = place[starts]
-    ends = ~blank
-    ends[:-1] &= blank[1:] | first[1:]
-    end = place[ends] + 1
-    at = np.flatnonzero(starts)
-    words = np.diff(np.searchsorted(at, bounds))
+    plain, begin, end, words = word_slices(data, bounds)
     shingles = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
     word = gather(np.cumsum(words) - words, shingles)
     last = np.minimum(word + shingle - 1, np.repeat(np.cumsum(words), shingles) - 1)
