@@ -42,7 +42,7 @@ _CELLS = 1 << 20
 _CHAINS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _PLACE_BITS = 24
 #: Bytes of one step in a task; places in it must fit _PLACE_BITS.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 3 << 20
 _TIE_BITS, _SHORT_BITS = 16, 7
 
 
@@ -129,8 +129,8 @@ def _table(arrays: list[np.ndarray], schema: StructType) -> pa.RecordBatch:
 
 
 def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFrame:
-    """Sampled suffixes ``(bucket, context, doc, packed)``; of equal contexts in a step, all but the first come
-    with their context negated in the sense of ``bucket`` NULL: they are known repeats."""
+    """Sampled suffixes ``(bucket, context, doc, packed)``. Of equal contexts in a step all but the first are known
+    repeats: their ``packed`` is inverted, hence negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +155,10 @@ def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFr
                     same[1:] = (bucket[order[1:]] == bucket[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
                     again = np.zeros(len(order), bool)
                     again[order] = same
-                    nulls = pa.array(bucket, mask=again)
-                    yield pa.RecordBatch.from_arrays(
-                        [nulls, pa.array(np.where(again, row, context)), pa.array(doc[row]), pa.array(packed)], _SUFFIX.names
+                    # a known repeat has its place inverted, and goes anywhere
+                    spread = _mix(doc[row].view(np.uint64), packed.view(np.uint64), 1).view(np.int64)
+                    yield _table(
+                        [np.where(again, spread, bucket), context, doc[row], np.where(again, ~packed, packed)], _SUFFIX
                     )
 
     return docs.mapInArrow(run, _SUFFIX)
@@ -226,6 +227,12 @@ def first_refinement(found: DataFrame) -> DataFrame:
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, context, doc, packed = (table[n].to_numpy() for n in _SUFFIX.names)
+        known = packed < 0
+        if known.any():
+            yield _table([np.full(int(known.sum()), _REPEAT), doc[known], ~packed[known]], _RUN)
+            bucket, context, doc, packed = (x[~known] for x in (bucket, context, doc, packed))
+        if not len(bucket):
+            return
         order = np.lexsort((packed, doc, context, bucket))
         bucket, context, doc, packed = bucket[order], context[order], doc[order], packed[order]
         new_bucket = np.ones(len(order), bool)
@@ -238,7 +245,7 @@ def first_refinement(found: DataFrame) -> DataFrame:
         kind = np.where(new, _OPEN, _REPEAT)
         yield _table([kind[out], doc[out], packed[out]], _RUN)
 
-    dealt = found.filter(F.col("bucket").isNotNull()).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda batches: _by_bucket(batches, "bucket", work), _RUN)
 
 
@@ -335,12 +342,8 @@ def remove_repeats(
     )
     docs = keyed.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.col("_text").alias("text"))
     frequent = frequent_grams(docs, width)
-    found_path, runs_path = shared_folder(spark, "suffixes"), shared_folder(spark, "runs")
-    found = suffixes(docs, width, frequent)
-    found.write.parquet(found_path)
-    found = spark.read.parquet(found_path)
-    local = found.filter(F.col("bucket").isNull()).select(F.lit(_REPEAT).cast("long").alias("kind"), "doc", "packed")
-    first_refinement(found).union(local).write.parquet(runs_path)
+    runs_path = shared_folder(spark, "runs")
+    first_refinement(suffixes(docs, width, frequent)).write.parquet(runs_path)
     runs = spark.read.parquet(runs_path)
     listed = _gather_runs(runs, _OPEN, "open").withColumnsRenamed({"doc": "_d", "tie": "_t"})
     joined = docs.join(listed, (docs["doc"] == listed["_d"]) & (docs["tie"] == listed["_t"]))
