@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 #: Text bytes that one step of a task holds at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the worker until another operator asks for something else."""
+    if key not in _resident:
+        release()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Let go of what the worker keeps for an earlier operator."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
 
 
 def whole_text(name: str = "text"):

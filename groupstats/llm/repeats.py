@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from groupstats.llm.batches import gather, lists, slices, text_bytes
+from groupstats.llm.batches import gather, lists, release, slices, text_bytes
 from groupstats.session import shared_folder
 
 Q = 32  # bytes of a q-gram; a power of two
@@ -42,7 +42,7 @@ _CELLS = 1 << 20
 _CHAINS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _PLACE_BITS = 24
 #: Bytes of one step in a task; places in it must fit _PLACE_BITS.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 2 << 20
 _TIE_BITS, _SHORT_BITS = 16, 7
 
 
@@ -133,6 +133,7 @@ def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFr
     repeats: their ``packed`` is inverted, hence negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
                 data, bounds = text_bytes(part.column("text"))
@@ -182,6 +183,7 @@ def frequent_grams(docs: DataFrame, width: int) -> np.ndarray:
     """Which cells of a hash table of fixed size hold frequent q-grams, from one document in sixteen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(_CELLS, np.int64)
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):

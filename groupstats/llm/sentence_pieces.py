@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from groupstats.llm.batches import lists, map_batches, whole_text
+from groupstats.llm.batches import lists, map_batches, resident, whole_text
 from groupstats.llm.piece_model import CONTROL, SPACE, UNKNOWN, PieceModel, load_model
 from groupstats.llm.token_counts import Transducer
 
@@ -103,14 +103,8 @@ class Encoder:
         return plain[1:] if self.model.dummy_prefix and plain[:1] == " " else plain
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(load_model(path))
-    return _encoders[path]
+    return resident(("encoder", path), lambda: Encoder(load_model(path)))
 
 
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from groupstats.llm.batches import long_field, map_batches, whole_text
+from groupstats.llm.batches import long_field, map_batches, resident, whole_text
 from groupstats.llm.piece_model import NO_SCORE, SPACE, PieceModel, load_model
 
 #: Cells of the transition table at most (9 bytes each).
@@ -262,14 +262,8 @@ class Transducer:
         return sums[np.searchsorted(starts, ends)] - sums[np.searchsorted(starts, ends - sizes)]
 
 
-_transducers: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    if path not in _transducers:
-        _transducers.clear()
-        _transducers[path] = Transducer(load_model(path))
-    return _transducers[path]
+    return resident(("transducer", path), lambda: Transducer(load_model(path)))
 
 
 def count_tokens(df: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
-from groupstats.llm.batches import map_batches, whole_text
+from groupstats.llm.batches import map_batches, resident, whole_text
 
 ORDER = 3
 DECAY = 0.7
@@ -43,7 +43,7 @@ FAINT = 0.02
 #: Words looked at for landmarks, and the kernel value from which two are not both taken.
 CANDIDATES, TOO_ALIKE = 400, 0.6
 #: Words a worker remembers the likenesses of before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Signs read as letters (fixed values).
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
@@ -205,14 +205,8 @@ class Likeness:
         return out
 
 
-_likeness: dict[tuple[str, ...], Likeness] = {}
-
-
 def likeness(landmarks: tuple[str, ...]) -> Likeness:
-    if landmarks not in _likeness:
-        _likeness.clear()
-        _likeness[landmarks] = Likeness(list(landmarks))
-    return _likeness[landmarks]
+    return resident(("likeness", landmarks), lambda: Likeness(list(landmarks)))
 
 
 # ------------------------------------------------------------------ training
@@ -318,7 +312,7 @@ def train_toxicity(
     text: str = "text",
     label: str = "toxic",
     landmarks: int = 32,
-    max_labelled: int = 20_000,
+    max_labelled: int = 10_000,
     least_count: int = 5,
 ) -> ToxicityModel:
     """Fit the model on labelled documents for whose id ``train`` holds; runs jobs."""

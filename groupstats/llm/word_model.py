@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from groupstats.llm.batches import resident
 from groupstats.llm.piece_model import NO_SCORE
 from groupstats.llm.token_counts import Transducer
 
@@ -146,7 +146,6 @@ class WordModel:
         return last[ends], owner_of_symbol[ends]
 
 
-@lru_cache(maxsize=2)
 def load_words(path: str) -> WordModel:
     """The model at ``path``, compiled once per worker."""
-    return WordModel(path)
+    return resident(("words", path), lambda: WordModel(path))
