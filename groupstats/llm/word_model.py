@@ -58,7 +58,7 @@ class WordModel:
         self.ids = {symbols(p): i for p, i in spec["model"]["vocab"].items() if p not in special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(symbols(a), symbols(b)): -float(k) for k, (a, b) in enumerate(pairs)}
-        self.library = Tokenizer.from_file(path)
+        self._library: Tokenizer | None = None
         self.transducer = Transducer(self)
         self.lower = np.arange(_TABLE)
         self.kind = np.full(_TABLE, _OTHER, np.int8)
@@ -73,6 +73,13 @@ class WordModel:
                 self.lower[point] = ord(low)
         self.kind[[9, 10, 11, 12, 13, 32]] = _SPACE
 
+    @property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, loaded when a text needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def pair_score(self, first: str, second: str) -> float:
         return self.rank.get((first, second), NO_SCORE)
 
