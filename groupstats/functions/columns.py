@@ -110,6 +110,11 @@ def less_flag(left: Column, right: Column, kind: str = "int") -> Column:
     return F.coalesce(left < right, F.lit(False)).cast(kind)
 
 
+def softplus(x: Column) -> Column:
+    """``log(1 + exp(x))`` without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 # -------------------------------------------------------------------- codes
 
 
@@ -124,23 +129,22 @@ def distance_bucket(distance: Column) -> Column:
     )
 
 
-def _hoof_number(code: Column) -> Column:
-    """Number of a hoof code ``01s``..``24s`` without ``13s``..``16s``; NULL otherwise."""
-    number = F.regexp_extract(code, r"^(0[1-9]|1[0-2]|1[7-9]|2[0-4])s$", 1)
-    return F.nullif(number, F.lit("")).cast("int") - 1
+def class_of(code: Column, classes: Mapping[str, tuple[str, ...]], other: str) -> Column:
+    """The class that lists the row's code; ``other`` for codes in none, also NULL."""
+    result = F.when(F.lit(False), other)
+    for name, codes in classes.items():
+        result = result.when(code.isin(*codes), name)
+    return result.otherwise(other)
 
 
 def hoof_size(code: Column) -> Column:
-    """Codes cycle through four sizes; anything else, also NULL, is ``o``."""
-    sizes = F.array(*[F.lit(s) for s in ("l", "m", "s", "qs")])
-    return F.coalesce(F.get(sizes, _hoof_number(code) % 4), F.lit("o"))
+    """Size class of a hoof code."""
+    return class_of(code, fixed.HOOF_SIZES, fixed.OTHER_HOOF)
 
 
 def hoof_type(code: Column) -> Column:
-    """Four codes per type, with one unused block of four before ``t4``."""
-    block = F.floor(_hoof_number(code) / 4).cast("int")
-    kind = F.when(block < 3, block + 1).otherwise(block)
-    return F.coalesce(F.concat(F.lit("t"), kind.cast("string")), F.lit("o"))
+    """Type class of a hoof code."""
+    return class_of(code, fixed.HOOF_TYPES, fixed.OTHER_HOOF)
 
 
 def choose_by_code(code: Column, choices: Mapping[str, Column]) -> Column:

@@ -148,3 +148,19 @@ SWEEP_STEPS = 50
 FOLD_SEED = 16
 HOLDOUT_SEED = 32
 HOLDOUT_GROUPS = 1000
+
+# Hoof codes by size and by type; any other code is "o".
+HOOF_SIZES = {
+    "l": ("01s", "05s", "09s", "17s", "21s"),
+    "m": ("02s", "06s", "10s", "18s", "22s"),
+    "s": ("03s", "07s", "11s", "19s", "23s"),
+    "qs": ("04s", "08s", "12s", "20s", "24s"),
+}
+HOOF_TYPES = {
+    "t1": ("01s", "02s", "03s", "04s"),
+    "t2": ("05s", "06s", "07s", "08s"),
+    "t3": ("09s", "10s", "11s", "12s"),
+    "t4": ("17s", "18s", "19s", "20s"),
+    "t5": ("21s", "22s", "23s", "24s"),
+}
+OTHER_HOOF = "o"

@@ -198,10 +198,8 @@ def pairwise_cross_entropy(tensors: DataFrame, group: str, pred: str, label: str
     def entropy(a: Column, b: Column) -> Column:
         gap = a[pred] - b[pred]
         first = fc.logistic(a[label] - b[label])
-        log_first = -F.log1p(F.exp(-gap))  # log of the logistic of the gap
-        return -first * F.greatest(log_first, F.lit(lowest)) - (1 - first) * F.greatest(
-            log_first - gap, F.lit(lowest)
-        )
+        log_first, log_second = -fc.softplus(-gap), -fc.softplus(gap)  # logs of the logistic of the gap
+        return -first * F.greatest(log_first, F.lit(lowest)) - (1 - first) * F.greatest(log_second, F.lit(lowest))
 
     width = F.size(pred)
 
@@ -220,8 +218,7 @@ def pairwise_softplus(tensors: DataFrame, group: str, pred: str, label: str) ->
     width = F.size(pred).cast("double")
 
     def term(a: Column, b: Column) -> Column:
-        softplus = F.log1p(F.exp(b[pred] - a[pred]))
-        value = width + softplus * F.tanh(b[label] - a[label])
+        value = width + fc.softplus(b[pred] - a[pred]) * F.tanh(b[label] - a[label])
         return F.least(F.greatest(value, F.lit(0.0)), width)
 
     total = _sum_over(

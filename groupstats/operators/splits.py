@@ -72,9 +72,21 @@ def hold_out_groups(
     return df.withColumn(name, hash_of([group], seed) <= cut)
 
 
-def random_split(df: DataFrame, test: float = 0.1, seed: int = fixed.HOLDOUT_SEED) -> list[DataFrame]:
-    """Training and test rows drawn independently per row."""
-    return df.randomSplit([1 - test, test], seed)
+def random_split(
+    df: DataFrame, entry: str | Sequence[str], test: float = 0.1, seed: int = fixed.HOLDOUT_SEED
+) -> list[DataFrame]:
+    """Training and test rows, each row by the digest of its id: the same under any layout, and after a retry.
+
+    Rows with the same id fall on the same side.
+    """
+    is_test = uniform(entry, seed) < test
+    return [df.filter(~is_test), df.filter(is_test)]
+
+
+def uniform(entry: str | Sequence[str], seed: int) -> Column:
+    """A repeatable number from 0 up to 1: the first 12 hex digits of the id's digest."""
+    digits = F.substring(hash_of(as_list(entry), seed), 1, 12)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 48)
 
 
 def _class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
@@ -124,11 +136,13 @@ def upsample(
     return zeros.unionByName(ones)
 
 
-def flip_action(action: Column, epsilon: float = 0.05, seed: int | None = None) -> Column:
-    """A 0/1 action flipped with probability ``epsilon``."""
-    return F.when(F.rand(seed) < epsilon, 1 - action).otherwise(action)
+def flip_action(
+    action: Column, entry: str | Sequence[str], epsilon: float = 0.05, seed: int = fixed.HOLDOUT_SEED
+) -> Column:
+    """A 0/1 action flipped with probability ``epsilon``, drawn by the row's id."""
+    return F.when(uniform(entry, seed) < epsilon, 1 - action).otherwise(action)
 
 
-def draw_action(p_skip: Column, seed: int | None = None) -> Column:
-    """Action 1 with probability ``1 - p_skip``."""
-    return (F.rand(seed) > p_skip).cast("int")
+def draw_action(p_skip: Column, entry: str | Sequence[str], seed: int = fixed.HOLDOUT_SEED) -> Column:
+    """Action 1 with probability ``1 - p_skip``, drawn by the row's id."""
+    return (uniform(entry, seed) > p_skip).cast("int")

@@ -527,7 +527,7 @@ def upsample_exact(spark, folder):
 
 @query
 def row_split(spark, folder):
-    train, test = splits.random_split(entries(spark, folder).select(*ID), 0.1, 32)
+    train, test = splits.random_split(entries(spark, folder).select(*ID), ENTRY, 0.1, 32)
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
@@ -536,8 +536,8 @@ def action_sample(spark, folder):
     df = entries(spark, folder)
     return df.select(
         *ID,
-        splits.draw_action(F.col("score"), 7).alias("drawn"),
-        splits.flip_action((F.col("score") > 0.5).cast("int"), 0.05, 8).alias("flipped"),
+        splits.draw_action(F.col("score"), ENTRY, 7).alias("drawn"),
+        splits.flip_action((F.col("score") > 0.5).cast("int"), ENTRY, 0.05, 8).alias("flipped"),
     )
 
 

@@ -673,3 +673,14 @@ ORACLES["loo_reward"] = (
 ORACLES["stream_apply"] = (
     "SELECT event_id, event_type, " + r(_encoded("event_type", "value", 1000, 500), "value_te") + " FROM events"
 )
+
+
+def _uniform(seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || entry_id), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+ORACLES["row_split"] = e(f"CASE WHEN {_uniform(32)} < 0.1 THEN 'test' ELSE 'train' END AS split")
+ORACLES["action_sample"] = e(
+    f"({_uniform(7)} > score)::INT AS drawn, "
+    f"CASE WHEN {_uniform(8)} < 0.05 THEN 1 - (score > 0.5)::INT ELSE (score > 0.5)::INT END AS flipped"
+)

@@ -224,3 +224,28 @@ def test_threshold_sweep_next_to_cutoffs(spark):
     out = evaluate.threshold_sweep(df).orderBy("cutoff").collect()
     assert [r["buys"] for r in out] == [50 - i for i in range(50)]
     assert out[0]["win_return"] == 1.0 and out[0]["place_return"] == 0.0
+
+
+@pytest.mark.parametrize("gap", [1000.0, -1000.0])
+def test_pairwise_losses_of_large_gaps(spark, gap):
+    rows = [("g", [0.0, gap], [0.0, -0.001])]
+    df = spark.createDataFrame(rows, "g string, pred array<double>, label array<double>")
+    entropy = evaluate.pairwise_cross_entropy(df, "g", "pred", "label").first()["loss"]
+    first = 1 / (1 + math.exp(-0.001))
+    # the side the scores are against is clipped at the smallest probability
+    clipped = -math.log(1e-8)
+    assert entropy == pytest.approx((first if gap > 0 else 1 - first) * clipped / 2, rel=1e-9)
+    loss = evaluate.pairwise_softplus(df, "g", "pred", "label").first()["loss"]
+    pairs = [0.0, 0.0]
+    for a, b in ((0, 1), (1, 0)):
+        y, t = rows[0][1], rows[0][2]
+        x = y[b] - y[a]
+        softplus = max(x, 0) + math.log1p(math.exp(-abs(x)))
+        pairs[a] = min(max(2 + softplus * math.tanh(t[b] - t[a]), 0), 2)
+    assert loss == pytest.approx((4 + sum(pairs)) / 4)
+
+
+def test_row_split_does_not_follow_the_layout(spark):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    found = [sorted(r[0] for r in splits.random_split(df.repartition(n), "k", 0.2, 3)[1].collect()) for n in (3, 7)]
+    assert found[0] == found[1] and 300 < len(found[0]) < 500

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES = {k: v for k, v in entry_points.queries().items() if k not in entry_points.TEXT_QUERIES}
 ORACLES = {k: v for k, v in entry_points.oracle_sql().items() if k not in entry_points.TEXT_ORACLES}
 ROWS_ONLY = {
-    "row_split", "action_sample", "gbt_fit_score", "gbt_cv", "gbt_folds", "feature_importance", "ablation",
+    "gbt_fit_score", "gbt_cv", "gbt_folds", "feature_importance", "ablation",
 }
 # queries whose operators split off heavy groups or attach fitted tables
 SKEWED = [
