@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 SPACE = "▁"
 #: Kinds of pieces in the model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -53,26 +54,23 @@ def read_char_map(blob: bytes) -> dict[str, str]:
     if not blob:
         return {}
     size = struct.unpack_from("<I", blob)[0]
-    units = array("I")
-    units.frombytes(blob[4 : 4 + size])
+    units = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64)
     pool = blob[4 + size :]
     base = lambda unit: (unit >> 10) << ((unit & 0x200) >> 6)
+    bytes_ = np.arange(1, 256)
     pairs = {}
-    stack = [(base(units[0]), b"")]
+    stack = [(base(int(units[0])), b"")]
     while stack:
         node, key = stack.pop()
-        for byte in range(1, 256):
-            child = node ^ byte
-            if child >= len(units):
-                continue
-            unit = units[child]
-            if unit & 0x800000FF != byte:
-                continue
-            below = child ^ base(unit)
+        children = node ^ bytes_
+        inside = np.minimum(children, len(units) - 1)
+        for k in np.flatnonzero((units[inside] & 0x800000FF == bytes_) & (children < len(units))).tolist():
+            child, unit = int(children[k]), int(units[children[k]])
+            below, longer = child ^ base(unit), key + bytes([k + 1])
             if unit & 0x100:
-                value = units[below] & 0x7FFFFFFF
-                pairs[key + bytes([byte])] = pool[value : pool.index(b"\0", value)]
-            stack.append((below, key + bytes([byte])))
+                value = int(units[below]) & 0x7FFFFFFF
+                pairs[longer] = pool[value : pool.index(b"\0", value)]
+            stack.append((below, longer))
     out = {}
     for key, target in pairs.items():
         try:
