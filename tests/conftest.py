@@ -6,6 +6,8 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy is loaded: its threads would contend with Spark's
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for Spark's workers
 
 
