@@ -154,6 +154,7 @@ def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFr
                     order = np.lexsort((packed, doc[row], context, bucket))
                     same = np.zeros(len(order), bool)
                     same[1:] = (bucket[order[1:]] == bucket[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+                    same &= ~_is_first(same, doc[row][order], packed[order])
                     again = np.zeros(len(order), bool)
                     again[order] = same
                     # a known repeat has its place inverted, and goes anywhere
@@ -165,6 +166,12 @@ def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFr
     return docs.mapInArrow(run, _SUFFIX)
 
 
+def _is_first(same: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which rows of sorted groups (``same`` as the row before) are their group's first one given again."""
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return (doc == doc[first]) & (packed == packed[first])
+
+
 def _windows(bounds: np.ndarray, width: int):
     """Ranges of a step's bytes: whole texts together, very long texts in overlapping parts."""
     total = int(bounds[-1])
@@ -243,7 +250,8 @@ def first_refinement(found: DataFrame) -> DataFrame:
         new[1:] |= context[1:] != context[:-1]
         contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_bucket))
         several = (contexts > 1)[np.cumsum(new_bucket) - 1]
-        out = ~new | several
+        again = ~new & ~_is_first(~new, doc, packed)
+        out = again | (new & several)
         kind = np.where(new, _OPEN, _REPEAT)
         yield _table([kind[out], doc[out], packed[out]], _RUN)
 
