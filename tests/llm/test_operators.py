@@ -213,10 +213,12 @@ def test_repeats_are_those_of_brute_force(spark, no_docs):
 
 
 def test_rows_given_twice_and_without_id(spark):
-    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
-    df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
-    rows = sorted((r["doc_id"] is None, r["n_removed"]) for r in remove_repeats(df).collect())
-    assert rows == [(False, 0), (False, 0), (True, 400)]
+    draw = random.Random(1)
+    # all strings of the first text are different; those of the second are all equal, so it keeps one byte
+    for text, repeated in (("".join(draw.choice("abcdefgh ") for _ in range(400)), 0), ("a" * 400, 399)):
+        df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+        rows = sorted((r["doc_id"] is None, r["n_removed"]) for r in remove_repeats(df).collect())
+        assert rows == [(False, repeated), (False, repeated), (True, 400)]
 
 
 # ------------------------------------------------- fingerprints, top k, pages
