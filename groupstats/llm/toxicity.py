@@ -44,6 +44,8 @@ FAINT = 0.02
 CANDIDATES, TOO_ALIKE = 400, 0.6
 #: Words a worker remembers the likenesses of before it starts afresh.
 REMEMBERED = 200_000
+#: Pairs of a part and a landmark whose kernel values are worked out together.
+STEP_PAIRS = 1 << 14
 
 #: Signs read as letters (fixed values).
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
@@ -96,15 +98,18 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     below = [np.ones((m + 1, rows), np.float32)] + [np.zeros((m + 1, rows), np.float32) for _ in range(ORDER - 1)]
     total = np.zeros(rows, np.float32)
     square = decay * decay
+    part = np.empty(rows, np.float32)
     for i in range(n):
-        meets = [(s[:, i] == t[:, j]) for j in range(m)]
+        meets = [(s[:, i] == t[:, j]) * square for j in range(m)]
         for j in range(m):
-            total += meets[j] * below[ORDER - 1][j] * square
+            total += np.multiply(meets[j], below[ORDER - 1][j], out=part)
         for k in range(ORDER - 1, 0, -1):
             run = np.zeros(rows, np.float32)
             for j in range(m):
-                run = decay * run + square * meets[j] * below[k - 1][j]
-                below[k][j + 1] = decay * below[k][j + 1] + run
+                run *= decay
+                run += np.multiply(meets[j], below[k - 1][j], out=part)
+                below[k][j + 1] *= decay
+                below[k][j + 1] += run
     return total
 
 
@@ -131,6 +136,11 @@ class Likeness:
         self.rows = [letters([w]) for w in landmarks]
         self.own = np.array([subsequence_kernel(r, r)[0] for r in self.rows], np.float32)
         self.pairs = np.array([_pairs(r, 1)[0] for r in self.rows], np.uint64)
+        lengths = np.array([len(w) for w in landmarks], np.int64)
+        self.by_size = [
+            (marks := np.flatnonzero(lengths == size), np.concatenate([self.rows[j] for j in marks]))
+            for size in np.unique(lengths)
+        ]
         self.need = -(-2 * np.bitwise_count(self.pairs).astype(np.int64) // 3)
         self._clear()
 
@@ -176,18 +186,21 @@ class Likeness:
             rows = letters([new[k] for k in where])
             pairs = _pairs(rows, 2)
             own = np.zeros(len(rows), np.float32)
-            for j, landmark in enumerate(self.rows):
-                near = np.flatnonzero(np.bitwise_count(pairs & self.pairs[j]) >= self.need[j])
-                if not len(near):
-                    continue
-                value = subsequence_kernel(rows[near], landmark)
-                # a part's own value is at least that of its runs of ORDER letters
-                most = value / np.sqrt((size - ORDER + 1) * DECAY ** (2 * ORDER) * self.own[j])
-                near, value = near[most**POWER >= FAINT], value[most**POWER >= FAINT]
-                fresh = near[own[near] == 0]
-                if len(fresh):
-                    own[fresh] = subsequence_kernel(rows[fresh], rows[fresh])
-                self.part_values[first + where[near], j] = (value / np.sqrt(own[near] * self.own[j])) ** POWER
+            for marks, stacked in self.by_size:
+                found = [np.flatnonzero(np.bitwise_count(pairs & self.pairs[j]) >= self.need[j]) for j in marks]
+                near_all = np.concatenate(found)
+                mark_all = np.repeat(np.arange(len(marks)), [len(f) for f in found])
+                for lo in range(0, len(near_all), STEP_PAIRS):
+                    near, mark = near_all[lo : lo + STEP_PAIRS], mark_all[lo : lo + STEP_PAIRS]
+                    value = subsequence_kernel(rows[near], stacked[mark])
+                    # a part's own value is at least that of its runs of ORDER letters
+                    most = value / np.sqrt((size - ORDER + 1) * DECAY ** (2 * ORDER) * self.own[marks[mark]])
+                    strong = most**POWER >= FAINT
+                    near, mark, value = near[strong], marks[mark[strong]], value[strong]
+                    fresh = np.unique(near[own[near] == 0])
+                    if len(fresh):
+                        own[fresh] = subsequence_kernel(rows[fresh], rows[fresh])
+                    self.part_values[first + where[near], mark] = (value / np.sqrt(own[near] * self.own[mark])) ** POWER
 
     def of(self, texts: list[str]) -> np.ndarray:
         """For each text and landmark the value of the most alike word."""
