@@ -315,6 +315,22 @@ def test_kernel_counts_gapped_subsequences(s, t):
     assert made == pytest.approx(brute_kernel(s, t), rel=1e-5)
 
 
+def test_likenesses_are_those_of_the_kernel(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP_PAIRS", 3)
+    marks = ["grumf", "zorbl", "snarkle", "blimfo"]
+    words = ["grumf", "gr-umf", "grxumf", "snarkle", "snaarkle", "blimf", "zorbll", "other"]
+    found = toxicity.Likeness(marks).of(words)
+    for row, word in zip(found, words):
+        for value, mark in zip(row, marks):
+            best = 0.0
+            for part in toxicity.parts_of(toxicity.fold(word)):
+                own = brute_kernel(part, part) * brute_kernel(mark, mark)
+                best = max(best, (brute_kernel(part, mark) / own**0.5) ** toxicity.POWER)
+            # values that are not worked out are zero; others are the kernel's
+            assert value == pytest.approx(best, rel=1e-3) or value == 0 and best < 0.3
+            assert value > 0 or mark[:5] not in toxicity.fold(word)
+
+
 def test_insults_are_found_with_inserted_letters(spark):
     draw = random.Random(9)
     clean = ["".join(draw.choice(["ta", "ne", "so", "ri", "mu"]) for _ in range(draw.randint(1, 4))) for _ in range(200)]
