@@ -43,7 +43,7 @@ _CHAINS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA076
 _PLACE_BITS = 24
 #: Bytes of one step in a task; places in it must fit _PLACE_BITS.
 STEP_BYTES = 2 << 20
-_TIE_BITS, _SHORT_BITS = 16, 7
+_SHORT_BITS = 7
 
 
 def _mix(a: np.ndarray, b: np.ndarray, chain: int) -> np.ndarray:
@@ -102,25 +102,23 @@ def sampled(data: np.ndarray, bounds: np.ndarray, width: int, frequent: np.ndarr
     return at[first], at[last], place[first], grams, whole
 
 
-def _document_key(text: str):
-    """The order of documents: id (NULL last), then some bits of the text's hash."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(1 << _TIE_BITS)).cast("long")
+def _document_tie(text: str):
+    """The order of documents of one id, or of none: the text's hash of 64 bits."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _pack_place(tie: np.ndarray, place: np.ndarray, before: np.ndarray, extent: np.ndarray) -> np.ndarray:
-    """Tie, place in the text, first start before it and number of starts (less one), so that order is kept."""
-    shift = 2 * _SHORT_BITS
-    return (tie << (32 + shift)) | (place << shift) | (before << _SHORT_BITS) | extent
+def _pack_place(place: np.ndarray, before: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    """Place in the text, first start before it and number of starts (less one), so that order is kept."""
+    return (place << 2 * _SHORT_BITS) | (before << _SHORT_BITS) | extent
 
 
 def _unpack_place(packed: np.ndarray):
     mask = (1 << _SHORT_BITS) - 1
-    shift = 2 * _SHORT_BITS
-    return packed >> (32 + shift), (packed >> shift) & 0xFFFFFFFF, (packed >> _SHORT_BITS) & mask, packed & mask
+    return packed >> 2 * _SHORT_BITS, (packed >> _SHORT_BITS) & mask, packed & mask
 
 
-_SUFFIX = StructType([StructField(n, LongType()) for n in ("bucket", "context", "doc", "packed")])
-_RUN = StructType([StructField(n, LongType()) for n in ("kind", "doc", "packed")])
+_SUFFIX = StructType([StructField(n, LongType()) for n in ("bucket", "context", "doc", "tie", "packed")])
+_RUN = StructType([StructField(n, LongType()) for n in ("kind", "doc", "tie", "packed")])
 _REPEAT, _OPEN = 0, 1
 
 
@@ -129,7 +127,7 @@ def _table(arrays: list[np.ndarray], schema: StructType) -> pa.RecordBatch:
 
 
 def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFrame:
-    """Sampled suffixes ``(bucket, context, doc, packed)``. Of equal contexts in a step all but the first are known
+    """Sampled suffixes ``(bucket, context, doc, tie, packed)``. Of equal contexts in a step all but the first are known
     repeats: their ``packed`` is inverted, hence negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,28 +146,29 @@ def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFr
                     before, extent = place - first, last - first
                     second = identifiers(piece, width, 1)[1]
                     context = _mix(_mix(second[first], second[last], 1), (before * 128 + extent).astype(np.uint64), 1)
-                    packed = _pack_place(tie[row], place - base, before, extent)
+                    packed = _pack_place(place - base, before, extent)
                     bucket, context = grams[place].view(np.int64), context.view(np.int64)
                     # equal contexts of this step: the first by document and place stands for all
-                    order = np.lexsort((packed, doc[row], context, bucket))
+                    order = np.lexsort((packed, tie[row], doc[row], context, bucket))
                     same = np.zeros(len(order), bool)
                     same[1:] = (bucket[order[1:]] == bucket[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
-                    same &= ~_is_first(same, doc[row][order], packed[order])
+                    same &= ~_is_first(same, doc[row][order], tie[row][order], packed[order])
                     again = np.zeros(len(order), bool)
                     again[order] = same
                     # a known repeat has its place inverted, and goes anywhere
                     spread = _mix(doc[row].view(np.uint64), packed.view(np.uint64), 1).view(np.int64)
                     yield _table(
-                        [np.where(again, spread, bucket), context, doc[row], np.where(again, ~packed, packed)], _SUFFIX
+                        [np.where(again, spread, bucket), context, doc[row], tie[row], np.where(again, ~packed, packed)],
+                        _SUFFIX,
                     )
 
     return docs.mapInArrow(run, _SUFFIX)
 
 
-def _is_first(same: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> np.ndarray:
+def _is_first(same: np.ndarray, doc: np.ndarray, tie: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Which rows of sorted groups (``same`` as the row before) are their group's first one given again."""
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    return (doc == doc[first]) & (packed == packed[first])
+    return (doc == doc[first]) & (tie == tie[first]) & (packed == packed[first])
 
 
 def _windows(bounds: np.ndarray, width: int):
@@ -232,40 +231,40 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], key: str, work) -> Iterator[pa
 
 
 def first_refinement(found: DataFrame) -> DataFrame:
-    """Repeats and open suffixes ``(kind, doc, packed)`` of sampled suffixes."""
+    """Repeats and open suffixes ``(kind, doc, tie, packed)`` of sampled suffixes."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, context, doc, packed = (table[n].to_numpy() for n in _SUFFIX.names)
+        bucket, context, doc, tie, packed = (table[n].to_numpy() for n in _SUFFIX.names)
         known = packed < 0
         if known.any():
-            yield _table([np.full(int(known.sum()), _REPEAT), doc[known], ~packed[known]], _RUN)
-            bucket, context, doc, packed = (x[~known] for x in (bucket, context, doc, packed))
+            yield _table([np.full(int(known.sum()), _REPEAT), doc[known], tie[known], ~packed[known]], _RUN)
+            bucket, context, doc, tie, packed = (x[~known] for x in (bucket, context, doc, tie, packed))
         if not len(bucket):
             return
-        order = np.lexsort((packed, doc, context, bucket))
-        bucket, context, doc, packed = bucket[order], context[order], doc[order], packed[order]
+        order = np.lexsort((packed, tie, doc, context, bucket))
+        bucket, context, doc, tie, packed = (x[order] for x in (bucket, context, doc, tie, packed))
         new_bucket = np.ones(len(order), bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
         new = new_bucket.copy()
         new[1:] |= context[1:] != context[:-1]
         contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_bucket))
         several = (contexts > 1)[np.cumsum(new_bucket) - 1]
-        again = ~new & ~_is_first(~new, doc, packed)
+        again = ~new & ~_is_first(~new, doc, tie, packed)
         out = again | (new & several)
         kind = np.where(new, _OPEN, _REPEAT)
-        yield _table([kind[out], doc[out], packed[out]], _RUN)
+        yield _table([kind[out], doc[out], tie[out], packed[out]], _RUN)
 
     dealt = found.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda batches: _by_bucket(batches, "bucket", work), _RUN)
 
 
 def second_refinement(contexts: DataFrame, width: int) -> DataFrame:
-    """Repeated strings ``(kind, doc, packed)`` among ``(bucket, doc, packed, bytes)``, a context for each suffix."""
+    """Repeated strings ``(kind, doc, tie, packed)`` among ``(bucket, doc, tie, packed, bytes)``, a context for each suffix."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         data, bounds = text_bytes(table["bytes"].combine_chunks())
-        bucket, doc, packed = (table[n].to_numpy() for n in ("bucket", "doc", "packed"))
-        tie, place, before, extent = _unpack_place(packed)
+        bucket, doc, tie, packed = (table[n].to_numpy() for n in ("bucket", "doc", "tie", "packed"))
+        place, before, extent = _unpack_place(packed)
         one, two = identifiers(data, width, 0)[1], identifiers(data, width, 1)[1]
         at = gather(bounds[:-1], extent + 1)
         row = np.repeat(np.arange(len(bucket)), extent + 1)
@@ -289,16 +288,16 @@ def second_refinement(contexts: DataFrame, width: int) -> DataFrame:
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(rows)))
         kept = rows[first]
-        run = _pack_place(tie[kept], starts[first], np.zeros(len(first), np.int64), size - 1)
-        yield _table([np.full(len(first), _REPEAT), doc[kept], run], _RUN)
+        run = _pack_place(starts[first], np.zeros(len(first), np.int64), size - 1)
+        yield _table([np.full(len(first), _REPEAT), doc[kept], tie[kept], run], _RUN)
 
     dealt = contexts.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda batches: _by_bucket(batches, "bucket", work), _RUN)
 
 
 def open_contexts(docs: DataFrame, width: int) -> DataFrame:
-    """``(bucket, doc, packed, bytes)`` of the open suffixes listed in ``open`` of each document."""
-    schema = StructType([StructField("bucket", LongType()), StructField("doc", LongType()), StructField("packed", LongType()), StructField("bytes", BinaryType())])
+    """``(bucket, doc, tie, packed, bytes)`` of the open suffixes listed in ``open`` of each document."""
+    schema = StructType([StructField(n, LongType()) for n in ("bucket", "doc", "tie", "packed")] + [StructField("bytes", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,8 +307,8 @@ def open_contexts(docs: DataFrame, width: int) -> DataFrame:
                 counts = np.diff(column.offsets.to_numpy())
                 packed = column.flatten().to_numpy()
                 row = np.repeat(np.arange(part.num_rows), counts)
-                doc = part.column("doc").to_numpy()[row]
-                _, place, before, extent = _unpack_place(packed)
+                doc, tie = part.column("doc").to_numpy()[row], part.column("tie").to_numpy()[row]
+                place, before, extent = _unpack_place(packed)
                 begin = bounds[row] + place
                 gram = np.empty(len(row), np.int64)
                 for lo in range(0, len(row), 50_000):
@@ -320,16 +319,14 @@ def open_contexts(docs: DataFrame, width: int) -> DataFrame:
                 raw = data[gather(begin - before, size)]
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(packed), cut], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(tie), pa.array(packed), cut], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _gather_runs(runs: DataFrame, kind: int, name: str) -> DataFrame:
     """The packed places of one kind, listed by document."""
-    tied = runs.filter(F.col("kind") == kind)
-    tie = F.shiftright("packed", 32 + 2 * _SHORT_BITS)
-    return tied.groupBy("doc", tie.alias("tie")).agg(F.collect_list("packed").alias(name))
+    return runs.filter(F.col("kind") == kind).groupBy("doc", "tie").agg(F.collect_list("packed").alias(name))
 
 
 def remove_repeats(
@@ -346,7 +343,7 @@ def remove_repeats(
     keyed = df.withColumns(
         {
             "_doc": F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)),
-            "_tie": _document_key(text),
+            "_tie": _document_tie(text),
             "_text": F.coalesce(F.col(text).cast("string"), F.lit("")),
         }
     )
@@ -357,7 +354,7 @@ def remove_repeats(
     runs = spark.read.parquet(runs_path)
     listed = _gather_runs(runs, _OPEN, "open").withColumnsRenamed({"doc": "_d", "tie": "_t"})
     joined = docs.join(listed, (docs["doc"] == listed["_d"]) & (docs["tie"] == listed["_t"]))
-    more = second_refinement(open_contexts(joined.select("doc", "text", "open"), width), width)
+    more = second_refinement(open_contexts(joined.select("doc", "tie", "text", "open"), width), width)
     repeats = _gather_runs(runs.union(more), _REPEAT, "_runs").withColumnsRenamed({"doc": "_d", "tie": "_t"})
     out = keyed.join(repeats, (keyed["_doc"] == repeats["_d"]) & (keyed["_tie"] == repeats["_t"]), "left")
     names = [c for c in df.columns if c not in ("n_removed", "spans", "kept", "kept_text")]
@@ -380,7 +377,7 @@ def _cut(part: pa.RecordBatch, width: int, keep_text: bool) -> list[pa.Array]:
     data, bounds = text_bytes(part.column("_text"))
     column = part.column("_runs")
     row = np.repeat(np.arange(part.num_rows), np.diff(column.offsets.to_numpy()))
-    _, place, before, extent = _unpack_place(column.flatten().to_numpy())
+    place, before, extent = _unpack_place(column.flatten().to_numpy())
     start = bounds[row] + place - before
     depth = np.zeros(len(data) + 1, np.int32)
     np.add.at(depth, start, 1)
