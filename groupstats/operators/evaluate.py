@@ -186,11 +186,20 @@ def _sum_over(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, v: total + term(v))
 
 
+def _block_pairs(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
+    """Every two blocks of a group, in both orders and each with itself, and the group's width over its blocks."""
+    rows = F.arrays_zip(pred, label)
+    sizes = tensors.groupBy(group).agg(F.sum(F.size(pred)).alias("_width"))
+    left = tensors.select(group, F.col("block").alias("_block"), rows.alias("_rows")).join(sizes, group)
+    return left.join(tensors.select(group, F.col("block").alias("_block_b"), rows.alias("_rows_b")), group)
+
+
 def pairwise_cross_entropy(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
     """Per group: cross-entropy of the order of each pair ``i < j``, by the width.
 
     Works on the [width] arrays of padded groups, so pairs are only formed
-    inside one bounded row.
+    inside one bounded row. Groups in several rows numbered ``block`` also
+    form the pairs between their blocks; the width is that of all blocks.
     """
 
     lowest = math.log(SMALLEST_PROBABILITY)
@@ -204,26 +213,39 @@ def pairwise_cross_entropy(tensors: DataFrame, group: str, pred: str, label: str
     width = F.size(pred)
 
     def against_later(a: Column, i: Column) -> Column:
-        return _sum_over(F.slice("_rows", i + 2, width), lambda b: entropy(a, b))
+        return _sum_over(F.slice("_rows", i + 2, F.size("_rows")), lambda b: entropy(a, b))
 
     per_entry = F.transform("_rows", against_later)
+    if "block" in tensors.columns:
+        inside = _sum_over(per_entry, lambda v: v)
+        across = _sum_over(F.col("_rows"), lambda a: _sum_over(F.col("_rows_b"), lambda b: entropy(a, b)))
+        pairs = _block_pairs(tensors, group, pred, label).filter("_block <= _block_b")
+        total = F.sum(F.when(F.col("_block") == F.col("_block_b"), inside).otherwise(across))
+        return pairs.groupBy(group).agg((total / F.first("_width")).alias("loss"))
     return tensors.withColumn("_rows", F.arrays_zip(pred, label)).select(
         group, (_sum_over(per_entry, lambda v: v) / width).alias("loss")
     )
 
 
 def pairwise_softplus(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
-    """Per group: sum over ordered pairs of ``clip(w + softplus(dy) * tanh(dt), 0, w) / w^2``."""
+    """Per group: sum over ordered pairs of ``clip(w + softplus(dy) * tanh(dt), 0, w) / w^2``.
+
+    Groups in several rows numbered ``block`` form pairs over all their blocks.
+    """
+    blocks = "block" in tensors.columns
     rows = F.arrays_zip(F.col(pred), F.col(label))
-    width = F.size(pred).cast("double")
+    width = (F.col("_width") if blocks else F.size(pred)).cast("double")
 
     def term(a: Column, b: Column) -> Column:
         value = width + fc.softplus(b[pred] - a[pred]) * F.tanh(b[label] - a[label])
         return F.least(F.greatest(value, F.lit(0.0)), width)
 
     total = _sum_over(
-        F.col("_rows"), lambda a: _sum_over(F.col("_rows"), lambda b: term(a, b))
+        F.col("_rows"), lambda a: _sum_over(F.col("_rows_b" if blocks else "_rows"), lambda b: term(a, b))
     )
+    if blocks:
+        each = _block_pairs(tensors, group, pred, label).select(group, (total / (width * width)).alias("loss"))
+        return each.groupBy(group).agg(F.sum("loss").alias("loss"))
     return tensors.withColumn("_rows", rows).select(group, (total / (width * width)).alias("loss"))
 
 

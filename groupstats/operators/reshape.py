@@ -61,14 +61,60 @@ def pad_groups(
     return groups.select(group, F.inline(F.concat("_rows", blanks)))
 
 
+def pad_wide_groups(
+    df: DataFrame,
+    group: str,
+    entry: str | Sequence[str],
+    numbers: Sequence[str],
+    codes: Sequence[str] = (),
+    constants: Mapping[str, float] | None = None,
+    width: int = fixed.GROUP_WIDTH,
+    seed: int | None = None,
+    heavy: Heavy | None = None,
+) -> DataFrame:
+    """All entries of each group in blocks of exactly ``width`` rows: ``block`` from 0, ``pos`` 1..width.
+
+    As :func:`pad_groups`, but no entry is cut. Only a group's last block has
+    padding; its means are those of the whole group.
+    """
+    constants = dict(constants or {})
+    columns = [*numbers, *codes, *constants]
+    known = df.filter(F.col(group).isNotNull())
+    order = [F.col(e).asc() for e in as_list(entry)] if seed is None else [hash_of(as_list(entry), seed)]
+    placed = number_rows(known, group, order, "_number", heavy).withColumns(
+        {
+            "block": F.floor((F.col("_number") - 1) / width).cast("int"),
+            "pos": ((F.col("_number") - 1) % width + 1).cast("int"),
+        }
+    )
+    types = dict(df.dtypes)
+    real = placed.select(group, "block", "pos", *columns, F.lit(0).alias("is_padded"))
+    groups = known.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_entries"), *[F.avg(c).alias(f"_mean_{c}") for c in numbers]
+    ).filter(F.col("_entries") % width > 0)
+
+    def padding(c: str) -> Column:
+        if c in constants:
+            value = F.lit(constants[c])
+        else:
+            value = F.lit(0) if c in set(codes) else F.col(f"_mean_{c}")
+        return value.cast(types[c]).alias(c)
+
+    free = F.explode(F.sequence((F.col("_entries") % width + 1).cast("int"), F.lit(width))).alias("pos")
+    last = F.floor(F.col("_entries") / width).cast("int").alias("block")
+    blanks = groups.select("*", last, free)
+    return real.unionByName(blanks.select(group, "block", "pos", *map(padding, columns), F.lit(1).alias("is_padded")))
+
+
 def to_tensors(
     padded: DataFrame, group: str, numbers: Sequence[str], codes: Sequence[str] = (), labels: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group: ``main`` is [width][number], each code and label is [width]."""
+    """One row per group, or per block of it: ``main`` is [width][number], each code and label is [width]."""
+    keys = [group, "block"] if "block" in padded.columns else [group]
     main = F.array(*[F.col(c).cast("double") for c in numbers]).alias("main")
     fields = [F.col("pos"), main, *[F.col(c) for c in [*codes, *labels]]]
-    rows = padded.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))
-    return rows.select(group, *[F.col(f"_rows.{c}").alias(c) for c in ["main", *codes, *labels]])
+    rows = padded.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))
+    return rows.select(*keys, *[F.col(f"_rows.{c}").alias(c) for c in ["main", *codes, *labels]])
 
 
 def group_rows(

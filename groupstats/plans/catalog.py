@@ -564,6 +564,15 @@ def pad_groups(spark, folder):
     return _round(_padded(spark, folder), ["l_extendedprice", "score"])
 
 
+@query
+def pad_wide_groups(spark, folder):
+    df = entries(spark, folder).select("l_suppkey", ENTRY, "l_extendedprice", "score", "l_linenumber", "is_win")
+    out = reshape.pad_wide_groups(
+        df, "l_suppkey", ENTRY, ["l_extendedprice", "score"], ["l_linenumber"], {"is_win": 0}, seed=5
+    )
+    return _round(out, ["l_extendedprice", "score"])
+
+
 @query
 def group_tensor(spark, folder):
     out = reshape.to_tensors(
