@@ -8,7 +8,7 @@ transducer's states; a transition by a character carries the change of the count
 first met and numbered in a table; a table past its size limit is started afresh, which changes no count.
 
 Every text is cut before runs of space marks. Reading such a mark leads every state to the same one, so a
-chunk's state map is constant, and composing maps along a text (a prefix scan) is adding the counts of
+chunk's state map is constant: no maps are composed, of the prefix scan over maps only adding is left, of the counts of
 its chunks. All chunks of a batch advance together, one character a step. For models that merge across
 spaces a text is one chunk.
 
