@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from groupstats.llm.order_minhash import compare_with_edits
 from groupstats.llm.packing import pack
+from groupstats.llm.phrases import collocations
 from groupstats.llm.pseudo_likelihood import score_documents
 from groupstats.llm.repeats import remove_repeats
+from groupstats.llm.runs import find_runs
 from groupstats.llm.simhash import near_duplicates
 from groupstats.llm.sentence_pieces import encode_pieces
 from groupstats.llm.token_counts import count_tokens
@@ -134,3 +136,93 @@ def op10_repeats(spark, folder):
         (F.size("spans") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def with_planted_run(doc_id: Column, text: Column) -> Column:
+    """The words of every tenth text, by the CRC-32 of its id, with the end replaced by repeats of one stretch of it.
+
+    Such a text comes back with one space between its words, others as they are; so do those of a NULL id.
+    """
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def renewed(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        places = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), source)
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(words, i.cast("int"))), " ")).otherwise("")
+
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return F.when((h % 10 == 0) & text.isNotNull(), F.element_at(F.transform(words, renewed), 1)).otherwise(text)
+
+
+@query
+def op11_word_runs(spark, folder):
+    docs = table(spark, folder, "documents").select(
+        "doc_id", with_planted_run(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    found = find_runs(docs, least_length=6, least_periods=4, drop=("text",))
+    # lengths and periods are whole numbers below 2 ** 26, so unequal quotients are unequal as doubles too
+    rank = lambda r: F.struct((-r["length"] / r["period"]).alias("e"), r["start"], r["period"], r["length"])
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", F.array_min(F.transform("runs", rank))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_collocations(spark, folder):
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return collocations(docs, most=3, least=10, covered_percent=50, top=2000)
+
+
+ORACLES["op12_collocations"] = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), places AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists
+), phrases AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM places, (VALUES (1), (2), (3)) AS sizes (k)
+    WHERE i + k - 1 <= len(w)
+    GROUP BY ALL
+), sums AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE k = 1 GROUP BY lang
+), cuts AS (
+    SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut
+    FROM phrases WHERE k >= 2 AND f >= 10
+), scored AS (
+    SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.f AS l, y.f AS r,
+           ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c
+    JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
+    JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 : ], ' ')
+), lowest AS (
+    SELECT * FROM scored
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+    SELECT lang, phrase, max(a) AS most FROM (
+        SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM cuts WHERE k = 3
+        UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM cuts WHERE k = 3)
+    GROUP BY ALL
+), kept AS (
+    SELECT o.* FROM lowest o LEFT JOIN longer g ON g.lang = o.lang AND g.phrase = o.phrase AND o.k = 2
+    WHERE g.most IS NULL OR 100 * g.most < 50 * o.a
+), ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+    FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sums USING (lang) WHERE rank <= 2000
+"""
