@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groupstats.llm.labelled_private import labelled_sentences
 from groupstats.llm.order_minhash import compare_with_edits
 from groupstats.llm.packing import pack
 from groupstats.llm.phrases import collocations
+from groupstats.llm.private_data import KINDS, find_private, train_field
 from groupstats.llm.pseudo_likelihood import score_documents
 from groupstats.llm.repeats import remove_repeats
 from groupstats.llm.runs import find_runs
@@ -226,3 +228,19 @@ WITH pieces AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sums USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_private_data(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_private(docs, train_field(labelled_sentences(spark)), drop=("text",))
+    kind = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    placed = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], kind(s).alias("k"), s["end"], s["kind"])))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(F.array_join(F.transform("base", line), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform(placed, line), ",").alias("spans"),
+    )
