@@ -29,9 +29,9 @@ from groupstats.llm.batches import slices, text_bytes, whole_text
 from groupstats.session import shared_folder
 
 #: Suffixes of a subtree.
-BUDGET = 1 << 21
+BUDGET = 1 << 20
 #: Text bytes whose suffixes are counted together before the shuffle.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 4 << 20
 JOINT = b"\0"
 #: Bytes that end a piece of text, besides line breaks (fixed values).
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -118,7 +118,7 @@ class Suffixes:
         columns = [np.append(langs[: batch.num_rows][rows], langs[batch.num_rows :]), first]
         for _ in range(1, depth):
             follow = np.zeros(len(first), np.int64)
-            follow[: self.count - 1] = np.where(linked[:-1], columns[-1][1 : self.count], 0)
+            follow[: max(self.count - 1, 0)] = np.where(linked[:-1], columns[-1][1 : self.count], 0)
             columns.append(follow)
         at = self.count
         for number, path in enumerate(paths):
