@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from groupstats.functions import columns as fc
 from groupstats.functions import fixed
@@ -181,72 +184,157 @@ def winner_accuracy(
 
 # ------------------------------------------------------------ pairwise losses
 
+#: Entries of a stripe at most, when its blocks are narrower: two stripes make a cell of the grid of pairs.
+STRIPE = 1024
+#: Pairs worked out at once.
+PAIRS_AT_ONCE = 1 << 20
 
-def _sum_over(values: Column, term) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + term(v))
 
+def _softplus(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0.0, x)
 
-def _block_pairs(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
-    """Every two blocks of a group, in both orders and each with itself, and the group's width over its blocks."""
-    rows = F.arrays_zip(pred, label)
-    sizes = tensors.groupBy(group).agg(F.sum(F.size(pred)).alias("_width"))
-    left = tensors.select(group, F.col("block").alias("_block"), rows.alias("_rows")).join(sizes, group)
-    return left.join(tensors.select(group, F.col("block").alias("_block_b"), rows.alias("_rows_b")), group)
 
+def _entropy(pred_gap: np.ndarray, label_gap: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Cross-entropy of the order of two entries; the same whichever comes first."""
+    lowest = math.log(SMALLEST_PROBABILITY)
+    first = np.exp(-_softplus(-label_gap))
+    return -first * np.maximum(-_softplus(-pred_gap), lowest) - (1 - first) * np.maximum(-_softplus(pred_gap), lowest)
 
-def pairwise_cross_entropy(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
-    """Per group: cross-entropy of the order of each pair ``i < j``, by the width.
 
-    Works on the [width] arrays of padded groups, so pairs are only formed
-    inside one bounded row. Groups in several rows numbered ``block`` also
-    form the pairs between their blocks; the width is that of all blocks.
+def _clipped(pred_gap: np.ndarray, label_gap: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Both orders of two entries."""
+    product = np.tanh(label_gap)
+    one = np.clip(width + _softplus(pred_gap) * product, 0.0, width)
+    return one + np.clip(width - _softplus(-pred_gap) * product, 0.0, width)
+
+
+def _pair_sums(term, width: np.ndarray, a: tuple, b: tuple | None) -> np.ndarray:
+    """Per row: ``term`` over the pairs of the entries of ``a``, or of an entry of ``a`` with one of ``b``.
+
+    ``a`` and ``b`` are (rows, entries) arrays of predictions and labels.
     """
+    rows, n = a[0].shape
+    if b is None:
+        left, right = np.triu_indices(n, 1)
+        b = a
+    else:
+        left, right = (i.ravel() for i in np.indices((n, b[0].shape[1])))
+    out = np.zeros(rows)
+    for at in range(0, len(left), PAIRS_AT_ONCE):
+        i, j = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(i)))
+        for row in range(0, rows, step):
+            some = slice(row, row + step)
+            out[some] += term(b[0][some][:, j] - a[0][some][:, i], b[1][some][:, j] - a[1][some][:, i], width[some, None]).sum(axis=1)
+    return out
+
+
+def _matrices(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows whose list columns have the same lengths, with these columns as matrices."""
+    columns = [batch.column(n) for n in names]
+    offsets = [c.offsets.to_numpy() for c in columns]
+    flat = [c.values.to_numpy(zero_copy_only=False) for c in columns]
+    sizes = np.stack([np.diff(o) for o in offsets])
+    kinds, which = np.unique(sizes, axis=1, return_inverse=True)
+    for kind in range(kinds.shape[1]):
+        rows = np.flatnonzero(which.ravel() == kind)
+        yield rows, [v[o[rows][:, None] + np.arange(n)] for v, o, n in zip(flat, offsets, kinds[:, kind])]
+
+
+def _pair_loss(tensors: DataFrame, group: str, pred: str, label: str, term, alone) -> DataFrame:
+    """``(group, _width, _total)``: sum of ``term`` over all pairs of a group and of ``alone(width)`` over its entries.
+
+    Blocks are laid together to stripes of up to ``STRIPE`` entries. A task works out the pairs inside a stripe; only stripes of
+    groups that have several go on, each to the cells of the grid in which it meets the others. So the pairs of
+    a group of any size are spread by cell, and no task holds more than two stripes.
+    """
+    whole = "block" not in tensors.columns
+    rows = tensors.select(
+        group,
+        *([F.lit(0).alias("block"), F.lit(1).alias("blocks")] if whole else ["block", *(["blocks"] if "blocks" in tensors.columns else [])]),
+        F.size(pred).alias("_size"), F.col(pred).cast("array<double>").alias("_p"), F.col(label).cast("array<double>").alias("_t"),
+    )
+    if "blocks" not in rows.columns:
+        counts = tensors.groupBy(group).agg((F.max("block") + 1).alias("blocks"))
+        rows = rows.join(counts, group)
+    if whole:
+        stripes = rows.select(group, F.lit(0).alias("_stripe"), F.lit(1).alias("_stripes"), F.col("_size").alias("_width"), "_p", "_t")
+    else:
+        per_stripe = F.greatest(F.lit(1), F.floor(F.lit(STRIPE) / F.greatest(F.col("_size"), F.lit(1))))
+        rows = rows.withColumn("_per", per_stripe)
+        collected = rows.groupBy(group, F.floor(F.col("block") / F.col("_per")).cast("int").alias("_stripe")).agg(
+            F.collect_list(F.struct("_p", "_t")).alias("_rows"),
+            F.first(F.ceil(F.col("blocks") / F.col("_per")).cast("int")).alias("_stripes"),
+            F.first(F.col("_size") * F.col("blocks")).alias("_width"),
+        )
+        stripes = collected.select(
+            group, "_stripe", "_stripes", "_width", F.flatten("_rows._p").alias("_p"), F.flatten("_rows._t").alias("_t")
+        )
 
-    lowest = math.log(SMALLEST_PROBABILITY)
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(batch.num_rows)
+            width = batch.column("_width").to_numpy().astype(np.float64)
+            for at, (p, t) in _matrices(batch, ["_p", "_t"]):
+                total[at] = _pair_sums(term, width[at], (p, t), None) + p.shape[1] * alone(width[at])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(total, mask=np.isnan(total))], [*batch.schema.names, "_total"]
+            )
+
+    summed = stripes.mapInArrow(inside, StructType([*stripes.schema.fields, StructField("_total", DoubleType())]))
+    if whole:
+        return summed.select(group, "_width", "_total")
+
+    met = summed.select("*", F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1)).alias("_other"))
+    own, held = F.col("_stripe") == F.col("_other"), F.struct("_p", "_t")
+    cells = met.groupBy(group, F.least("_stripe", "_other").alias("_a"), F.greatest("_stripe", "_other").alias("_b")).agg(
+        F.first("_width").alias("_width"),
+        F.first(F.when(own, F.col("_total")), True).alias("_total"),
+        F.max(own & F.col("_total").isNull()).alias("_missing"),
+        F.first(F.when(F.col("_stripe") < F.col("_other"), held), True).alias("_left"),
+        F.first(F.when(F.col("_stripe") > F.col("_other"), held), True).alias("_right"),
+    )
+    none = F.array().cast("array<double>")
+    cells = cells.select(
+        group, "_width", F.when(~F.col("_missing"), F.coalesce("_total", F.lit(0.0))).alias("_total"),
+        *[F.coalesce(f"{side}.{c}", none).alias(f"{side}{c}") for side in ("_left", "_right") for c in ("_p", "_t")],
+    )
 
-    def entropy(a: Column, b: Column) -> Column:
-        gap = a[pred] - b[pred]
-        first = fc.logistic(a[label] - b[label])
-        log_first, log_second = -fc.softplus(-gap), -fc.softplus(gap)  # logs of the logistic of the gap
-        return -first * F.greatest(log_first, F.lit(lowest)) - (1 - first) * F.greatest(log_second, F.lit(lowest))
-
-    width = F.size(pred)
-
-    def against_later(a: Column, i: Column) -> Column:
-        return _sum_over(F.slice("_rows", i + 2, F.size("_rows")), lambda b: entropy(a, b))
-
-    per_entry = F.transform("_rows", against_later)
-    if "block" in tensors.columns:
-        inside = _sum_over(per_entry, lambda v: v)
-        across = _sum_over(F.col("_rows"), lambda a: _sum_over(F.col("_rows_b"), lambda b: entropy(a, b)))
-        pairs = _block_pairs(tensors, group, pred, label).filter("_block <= _block_b")
-        total = F.sum(F.when(F.col("_block") == F.col("_block_b"), inside).otherwise(across))
-        return pairs.groupBy(group).agg((total / F.first("_width")).alias("loss"))
-    return tensors.withColumn("_rows", F.arrays_zip(pred, label)).select(
-        group, (_sum_over(per_entry, lambda v: v) / width).alias("loss")
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("_total").to_numpy(zero_copy_only=False).copy()
+            width = batch.column("_width").to_numpy().astype(np.float64)
+            for at, (p, t, q, u) in _matrices(batch, ["_left_p", "_left_t", "_right_p", "_right_t"]):
+                if p.shape[1]:
+                    total[at] += _pair_sums(term, width[at], (p, t), (q, u))
+            kept = batch.select([group, "_width"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(total, mask=np.isnan(total))], [group, "_width", "_total"])
+
+    schema = StructType([cells.schema[group], cells.schema["_width"], StructField("_total", DoubleType())])
+    parts = cells.mapInArrow(between, schema)
+    return parts.groupBy(group).agg(
+        F.first("_width").alias("_width"), F.when(F.count("_total") == F.count(F.lit(1)), F.sum("_total")).alias("_total")
     )
 
 
-def pairwise_softplus(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
-    """Per group: sum over ordered pairs of ``clip(w + softplus(dy) * tanh(dt), 0, w) / w^2``.
+def pairwise_cross_entropy(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
+    """Per group: cross-entropy of the order of each pair ``i < j``, by the width.
 
-    Groups in several rows numbered ``block`` form pairs over all their blocks.
+    Works on the arrays of padded groups: one row per group, or rows numbered ``block``, whose pairs between blocks count as
+    well; the width is that of all blocks. A missing value makes the group's loss NULL.
     """
-    blocks = "block" in tensors.columns
-    rows = F.arrays_zip(F.col(pred), F.col(label))
-    width = (F.col("_width") if blocks else F.size(pred)).cast("double")
+    sums = _pair_loss(tensors, group, pred, label, _entropy, lambda width: 0.0)
+    return sums.select(group, F.try_divide("_total", F.col("_width").cast("double")).alias("loss"))
 
-    def term(a: Column, b: Column) -> Column:
-        value = width + fc.softplus(b[pred] - a[pred]) * F.tanh(b[label] - a[label])
-        return F.least(F.greatest(value, F.lit(0.0)), width)
 
-    total = _sum_over(
-        F.col("_rows"), lambda a: _sum_over(F.col("_rows_b" if blocks else "_rows"), lambda b: term(a, b))
-    )
-    if blocks:
-        each = _block_pairs(tensors, group, pred, label).select(group, (total / (width * width)).alias("loss"))
-        return each.groupBy(group).agg(F.sum("loss").alias("loss"))
-    return tensors.withColumn("_rows", rows).select(group, (total / (width * width)).alias("loss"))
+def pairwise_softplus(tensors: DataFrame, group: str, pred: str, label: str) -> DataFrame:
+    """Per group: sum over ordered pairs of ``clip(w + softplus(dy) * tanh(dt), 0, w) / w^2``.
+
+    Rows and missing values are those of :func:`pairwise_cross_entropy`.
+    """
+    sums = _pair_loss(tensors, group, pred, label, _clipped, lambda width: width)
+    width = F.col("_width").cast("double")
+    return sums.select(group, F.try_divide("_total", width * width).alias("loss"))
 
 
 # ------------------------------------------------------------- cross entropy

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupstats.functions import fixed
-from groupstats.operators.ranks import append_first_of_group
-from groupstats.skew import Fitted, Heavy, as_list, attach, hash_cuts, hash_of, number_rows
+from groupstats.skew import (
+    Fitted, Heavy, as_list, attach, find_heavy, hash_cuts, hash_of, number_rows, number_sorted, split_heavy,
+)
 
 CHUNK_ROWS = 1024
 
 
-def pad_groups(
+def group_blocks(
     df: DataFrame,
     group: str,
     entry: str | Sequence[str],
@@ -27,38 +28,98 @@ def pad_groups(
     constants: Mapping[str, float] | None = None,
     width: int = fixed.GROUP_WIDTH,
     seed: int | None = None,
+    mix: bool = True,
+    heavy: Heavy | None = None,
 ) -> DataFrame:
-    """Exactly ``width`` rows per group, numbered ``pos`` 1..width.
+    """All entries of each group in blocks of exactly ``width`` places.
+
+    One row per ``block`` (from 0) of the group's ``blocks``; ``rows`` are the block's structs of ``pos`` (1..width), the
+    columns and ``is_padded``. A group has as many blocks as its entries need. Places left over are padding: the mean
+    of the whole group for numbers, 0 for codes, the given constants.
+
+    Without a seed entries come in entry order and padding last. With one they come in hash order of the entry, and padding has
+    hashes of its own among them, so that no place tells padding from entries; ``mix=False`` leaves padding last.
+    Rows without a group are left out.
 
-    Real rows come first in entry order, or in hash order of the entry if a
-    seed is given; entries beyond ``width`` are cut. Padding rows carry the
-    group mean of numbers, 0 for codes and the given constants, and
-    ``is_padded`` is 1.
+    Numbers and means come from one window, hence one shuffle, which the grouping into blocks finds in place. A heavy
+    group is numbered by a distributed sort and its blocks are spread over the tasks.
     """
     constants = dict(constants or {})
     columns = [*numbers, *codes, *constants]
-    first = append_first_of_group(
-        df.filter(F.col(group).isNotNull()), group, entry, width, "pos", seed
+    known = df.filter(F.col(group).isNotNull()).select(group, *dict.fromkeys([*as_list(entry), *columns]))
+    mixed = mix and seed is not None
+    order = [F.col(e).asc() for e in as_list(entry)]
+    if seed is not None:
+        known = known.withColumn("_digest", hash_of(as_list(entry), seed))
+        order = [F.col("_digest").asc(), *order]
+    stats = {"_entries": F.count(F.lit(1)), **{f"_mean_{k}": F.avg(c) for k, c in enumerate(numbers)}}
+    spare = F.pmod(-F.col("_entries"), F.lit(width))
+    digests = F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(width)), lambda j: j <= spare),
+        lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.lit("pad"), j.cast("string"))),
     )
-    types = dict(df.dtypes)
-    real = F.struct("pos", *columns, F.lit(0).alias("is_padded"))
-    groups = first.groupBy(group).agg(
-        F.sort_array(F.collect_list(real)).alias("_rows"),
-        *[F.avg(c).alias(f"_mean_{c}") for c in numbers],
+    heavy = heavy or find_heavy(known, group)
+
+    def windowed(part: DataFrame) -> DataFrame:
+        ordered = Window.partitionBy(group).orderBy(*order)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        part = part.select(
+            "*", F.row_number().over(ordered).cast("long").alias("_number"), *[c.over(whole).alias(n) for n, c in stats.items()]
+        )
+        if not mixed:
+            return part
+        first = F.when(F.col("_number") == 1, digests)  # worked out once a group
+        return part.select("*", first.alias("_first")).select("*", F.max("_first").over(Window.partitionBy(group)).alias("_pads")).drop("_first")
+
+    if heavy.rows is None:
+        placed = windowed(known)
+    else:
+        large, rest = split_heavy(known, heavy)
+        table = large.groupBy(group).agg(*[c.alias(n) for n, c in stats.items()])
+        table = table.withColumn("_pads", digests) if mixed else table
+        large = number_sorted(large, [group], order, "_number").join(F.broadcast(table), group)
+        placed = windowed(rest).unionByName(large)
+
+    number = F.col("_number") - 1
+    if mixed:  # padding before the entry
+        number = number + F.size(F.filter("_pads", lambda d: d < F.col("_digest")))
+    placed = placed.withColumn("_place", number).withColumns(
+        {"block": F.floor(F.col("_place") / width).cast("int"), "pos": (F.col("_place") % width + 1).cast("int")}
     )
+    held = F.struct("pos", *columns, F.lit(0).alias("is_padded"))
+    blocks = placed.groupBy(group, "block").agg(
+        F.collect_list(held).alias("_held"), *[F.first(n).alias(n) for n in stats]
+    )
+    types = dict(df.dtypes)
+    means = {c: F.col(f"_mean_{k}") for k, c in enumerate(numbers)}
 
     def padding(c: str) -> Column:
-        if c in constants:
-            value = F.lit(constants[c])
-        else:
-            value = F.lit(0) if c in set(codes) else F.col(f"_mean_{c}")
+        value = F.lit(constants[c]) if c in constants else F.lit(0) if c in set(codes) else means[c]
         return value.cast(types[c]).alias(c)
 
-    free = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda i: i > F.size("_rows"))
-    blanks = F.transform(
-        free, lambda i: F.struct(i.alias("pos"), *map(padding, columns), F.lit(1).alias("is_padded"))
+    free = F.array_except(F.sequence(F.lit(1), F.lit(width)), F.col("_held.pos"))
+    blank = F.transform(free, lambda i: F.struct(i.alias("pos"), *map(padding, columns), F.lit(1).alias("is_padded")))
+    return blocks.select(
+        group, "block", F.ceil(F.col("_entries") / width).cast("int").alias("blocks"),
+        F.sort_array(F.concat("_held", blank)).alias("rows"),
     )
-    return groups.select(group, F.inline(F.concat("_rows", blanks)))
+
+
+def pad_groups(
+    df: DataFrame,
+    group: str,
+    entry: str | Sequence[str],
+    numbers: Sequence[str],
+    codes: Sequence[str] = (),
+    constants: Mapping[str, float] | None = None,
+    width: int = fixed.GROUP_WIDTH,
+    seed: int | None = None,
+    mix: bool = True,
+    heavy: Heavy | None = None,
+) -> DataFrame:
+    """The blocks of :func:`group_blocks` as rows: ``width`` for every block, none of a group's entries left out."""
+    blocks = group_blocks(df, group, entry, numbers, codes, constants, width, seed, mix, heavy)
+    return blocks.select(group, "block", F.inline("rows"))
 
 
 def pad_wide_groups(
@@ -72,44 +133,25 @@ def pad_wide_groups(
     seed: int | None = None,
     heavy: Heavy | None = None,
 ) -> DataFrame:
-    """All entries of each group in blocks of exactly ``width`` rows: ``block`` from 0, ``pos`` 1..width.
+    """As :func:`pad_groups`, with padding always last."""
+    return pad_groups(df, group, entry, numbers, codes, constants, width, seed, False, heavy)
 
-    As :func:`pad_groups`, but no entry is cut. Only a group's last block has
-    padding; its means are those of the whole group.
-    """
-    constants = dict(constants or {})
-    columns = [*numbers, *codes, *constants]
-    known = df.filter(F.col(group).isNotNull())
-    order = [F.col(e).asc() for e in as_list(entry)] if seed is None else [hash_of(as_list(entry), seed)]
-    placed = number_rows(known, group, order, "_number", heavy).withColumns(
-        {
-            "block": F.floor((F.col("_number") - 1) / width).cast("int"),
-            "pos": ((F.col("_number") - 1) % width + 1).cast("int"),
-        }
-    )
-    types = dict(df.dtypes)
-    real = placed.select(group, "block", "pos", *columns, F.lit(0).alias("is_padded"))
-    groups = known.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_entries"), *[F.avg(c).alias(f"_mean_{c}") for c in numbers]
-    ).filter(F.col("_entries") % width > 0)
 
-    def padding(c: str) -> Column:
-        if c in constants:
-            value = F.lit(constants[c])
-        else:
-            value = F.lit(0) if c in set(codes) else F.col(f"_mean_{c}")
-        return value.cast(types[c]).alias(c)
+def block_tensors(
+    blocks: DataFrame, group: str, numbers: Sequence[str], codes: Sequence[str] = (), labels: Sequence[str] = ()
+) -> DataFrame:
+    """One row per block of :func:`group_blocks`: ``main`` is [width][number], each code and label is [width].
 
-    free = F.explode(F.sequence((F.col("_entries") % width + 1).cast("int"), F.lit(width))).alias("pos")
-    last = F.floor(F.col("_entries") / width).cast("int").alias("block")
-    blanks = groups.select("*", last, free)
-    return real.unionByName(blanks.select(group, "block", "pos", *map(padding, columns), F.lit(1).alias("is_padded")))
+    ``blocks`` stays, so that losses know the size of the whole group.
+    """
+    main = F.transform("rows", lambda r: F.array(*[r[c].cast("double") for c in numbers])).alias("main")
+    return blocks.select(group, "block", "blocks", main, *[F.col(f"rows.{c}").alias(c) for c in [*codes, *labels]])
 
 
 def to_tensors(
     padded: DataFrame, group: str, numbers: Sequence[str], codes: Sequence[str] = (), labels: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group, or per block of it: ``main`` is [width][number], each code and label is [width]."""
+    """The arrays of :func:`block_tensors` from padded rows, collected again; for rows that were changed in between."""
     keys = [group, "block"] if "block" in padded.columns else [group]
     main = F.array(*[F.col(c).cast("double") for c in numbers]).alias("main")
     fields = [F.col("pos"), main, *[F.col(c) for c in [*codes, *labels]]]

@@ -544,13 +544,21 @@ def action_sample(spark, folder):
 # ------------------------------------------------------------------- group arrays
 
 
-def _padded(spark, folder):
+def _blocks(spark, folder):
     df = entries(spark, folder).select(
         *ID, "l_extendedprice", "score", "l_linenumber", "finish", "is_win", "is_place"
     )
-    return reshape.pad_groups(
+    return reshape.group_blocks(
         df, GROUP, ENTRY, ["l_extendedprice", "score"], ["l_linenumber"],
-        {"finish": 19, "is_win": 0, "is_place": 0}, seed=5,
+        {"finish": 19, "is_win": 0, "is_place": 0}, seed=5, heavy=heavy_orders(spark, folder),
+    )
+
+
+def _wide_blocks(spark, folder):
+    """Groups of hundreds of entries."""
+    df = entries(spark, folder).select("l_suppkey", ENTRY, "l_extendedprice", "score", "l_linenumber", "is_win")
+    return reshape.group_blocks(
+        df, "l_suppkey", ENTRY, ["l_extendedprice", "score"], ["l_linenumber"], {"is_win": 0}, seed=5
     )
 
 
@@ -561,7 +569,17 @@ def _as_text(values: Column) -> Column:
 
 @query
 def pad_groups(spark, folder):
-    return _round(_padded(spark, folder), ["l_extendedprice", "score"])
+    rows = _blocks(spark, folder).select(GROUP, "block", F.inline("rows"))
+    return _round(rows, ["l_extendedprice", "score"])
+
+
+@query
+def pad_shuffled_groups(spark, folder):
+    df = entries(spark, folder).select("l_suppkey", ENTRY, "l_extendedprice", "score", "l_linenumber", "is_win")
+    out = reshape.pad_groups(
+        df, "l_suppkey", ENTRY, ["l_extendedprice", "score"], ["l_linenumber"], {"is_win": 0}, seed=5
+    )
+    return _round(out, ["l_extendedprice", "score"])
 
 
 @query
@@ -575,11 +593,19 @@ def pad_wide_groups(spark, folder):
 
 @query
 def group_tensor(spark, folder):
-    out = reshape.to_tensors(
-        _padded(spark, folder), GROUP, ["l_extendedprice", "score"], ["l_linenumber"], ["is_win"]
-    )
+    return _tensor_text(_blocks(spark, folder), GROUP)
+
+
+@query
+def group_tensor_wide(spark, folder):
+    return _tensor_text(_wide_blocks(spark, folder), "l_suppkey")
+
+
+def _tensor_text(blocks, group):
+    out = reshape.block_tensors(blocks, group, ["l_extendedprice", "score"], ["l_linenumber"], ["is_win"])
     return out.select(
-        GROUP,
+        group,
+        "block",
         F.size("main").alias("width"),
         _as_text(F.flatten("main")).alias("main"),
         F.array_join("l_linenumber", ",").alias("line"),
@@ -673,20 +699,35 @@ def winner_accuracy(spark, folder):
     return _round(evaluate.winner_accuracy(df, GROUP, ENTRY, "pred"), ["accuracy"])
 
 
-def _pairwise_input(spark, folder):
-    df = entries(spark, folder).select(*ID, "score", F.col("l_discount").alias("gap"))
-    padded = reshape.pad_groups(df, GROUP, ENTRY, ["score", "gap"], seed=5)
-    return reshape.to_tensors(padded, GROUP, ["score"], labels=["score", "gap"])
+def _pairwise_input(spark, folder, group=GROUP, heavy=None):
+    df = entries(spark, folder).select(group, ENTRY, "score", F.col("l_discount").alias("gap"))
+    blocks = reshape.group_blocks(df, group, ENTRY, ["score", "gap"], seed=5, heavy=heavy)
+    return reshape.block_tensors(blocks, group, ["score"], labels=["score", "gap"])
+
+
+def _pairwise(loss, spark, folder, group=GROUP):
+    heavy = heavy_orders(spark, folder) if group == GROUP else None
+    return _round(loss(_pairwise_input(spark, folder, group, heavy), group, "score", "gap"), ["loss"])
 
 
 @query
 def pairwise_xent(spark, folder):
-    return _round(evaluate.pairwise_cross_entropy(_pairwise_input(spark, folder), GROUP, "score", "gap"), ["loss"])
+    return _pairwise(evaluate.pairwise_cross_entropy, spark, folder)
 
 
 @query
 def pairwise_softplus(spark, folder):
-    return _round(evaluate.pairwise_softplus(_pairwise_input(spark, folder), GROUP, "score", "gap"), ["loss"])
+    return _pairwise(evaluate.pairwise_softplus, spark, folder)
+
+
+@query
+def pairwise_xent_wide(spark, folder):
+    return _pairwise(evaluate.pairwise_cross_entropy, spark, folder, "l_suppkey")
+
+
+@query
+def pairwise_softplus_wide(spark, folder):
+    return _pairwise(evaluate.pairwise_softplus, spark, folder, "l_suppkey")
 
 
 @query

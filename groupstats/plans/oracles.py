@@ -495,17 +495,17 @@ ORACLES["upsample_exact"] = (
 # ------------------------------------------------------------------- group arrays
 
 
-def _padded(fields: dict[str, tuple[str, str]]) -> str:
-    """``fields`` maps a name to its real value and its padding value."""
+def _padded(fields: dict[str, tuple[str, str]], key: str = "l_orderkey") -> str:
+    """``fields`` maps a name to its real value and its padding value; padding is shuffled in by digests of its own."""
     real = ", ".join(f"{v} AS {n}" for n, (v, _) in fields.items())
     blank = ", ".join(f"{p} AS {n}" for n, (_, p) in fields.items())
     return (
-        f"real AS (SELECT l_orderkey, row_number() OVER ({G} ORDER BY md5('5:' || entry_id))::INT AS pos, "
-        f"{real}, 0 AS is_padded FROM e QUALIFY pos <= 18), "
-        f"blank AS (SELECT l_orderkey, count(*) AS n, {blank} FROM real GROUP BY l_orderkey), "
-        "padded AS (SELECT * FROM real UNION ALL SELECT l_orderkey, i::INT AS pos, "
-        + ", ".join(fields)
-        + ", 1 AS is_padded FROM (SELECT *, unnest(range(n + 1, 19)) AS i FROM blank))"
+        f"sized AS (SELECT {key}, count(*) AS n, {blank} FROM e WHERE {key} IS NOT NULL GROUP BY {key}), "
+        "pads AS (SELECT *, unnest(range(1, (18 - n % 18) % 18 + 1)) AS j FROM sized), "
+        f"mixed AS (SELECT {key}, {real}, 0 AS is_padded, md5('5:' || entry_id) AS d FROM e WHERE {key} IS NOT NULL "
+        f"UNION ALL SELECT {key}, {', '.join(fields)}, 1, md5('5:' || {key} || ':pad:' || j) FROM pads), "
+        f"padded AS (SELECT * EXCLUDE (d), ((k - 1) // 18)::INT AS block, ((k - 1) % 18 + 1)::INT AS pos "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY d) AS k FROM mixed))"
     )
 
 
@@ -519,10 +519,23 @@ _PADDED = _padded(
         "is_place": ("is_place", "0"),
     }
 )
+_PADDED_WIDE = _padded(
+    {
+        "l_extendedprice": ("l_extendedprice", "avg(l_extendedprice)"),
+        "score": ("score", "avg(score)"),
+        "l_linenumber": ("l_linenumber", "0"),
+        "is_win": ("is_win", "0"),
+    },
+    "l_suppkey",
+)
 ORACLES["pad_groups"] = (
-    f"{ENTRIES}, {_PADDED} SELECT l_orderkey, pos, {r('l_extendedprice', 'l_extendedprice')}, "
+    f"{ENTRIES}, {_PADDED} SELECT l_orderkey, block, pos, {r('l_extendedprice', 'l_extendedprice')}, "
     f"{r('score', 'score')}, l_linenumber, finish, is_win, is_place, is_padded FROM padded"
 )
+ORACLES["pad_shuffled_groups"] = (
+    f"{ENTRIES}, {_PADDED_WIDE} SELECT l_suppkey, block, pos, {r('l_extendedprice', 'l_extendedprice')}, "
+    f"{r('score', 'score')}, l_linenumber, is_win, is_padded FROM padded"
+)
 
 
 ORACLES["pad_wide_groups"] = (
@@ -541,12 +554,17 @@ def _millionths(value: str) -> str:
     return f"floor({value} * 1000000 + 0.5)::BIGINT"
 
 
-ORACLES["group_tensor"] = (
-    f"{ENTRIES}, {_PADDED} SELECT l_orderkey, count(*)::INT AS width, "
-    f"string_agg({_millionths('l_extendedprice')} || ',' || {_millionths('score')}, ',' ORDER BY pos) AS main, "
-    "string_agg(l_linenumber::VARCHAR, ',' ORDER BY pos) AS line, "
-    "string_agg(is_win::VARCHAR, ',' ORDER BY pos) AS win FROM padded GROUP BY l_orderkey"
-)
+def _tensor(padded: str, key: str) -> str:
+    return (
+        f"{ENTRIES}, {padded} SELECT {key}, block, count(*)::INT AS width, "
+        f"string_agg({_millionths('l_extendedprice')} || ',' || {_millionths('score')}, ',' ORDER BY pos) AS main, "
+        "string_agg(l_linenumber::VARCHAR, ',' ORDER BY pos) AS line, "
+        f"string_agg(is_win::VARCHAR, ',' ORDER BY pos) AS win FROM padded GROUP BY {key}, block"
+    )
+
+
+ORACLES["group_tensor"] = _tensor(_PADDED, "l_orderkey")
+ORACLES["group_tensor_wide"] = _tensor(_PADDED_WIDE, "l_suppkey")
 ORACLES["group_rows"] = (
     f"{ENTRIES}, p AS (SELECT *, row_number() OVER ({G} ORDER BY entry_id) AS pos FROM e) "
     "SELECT l_orderkey, ((pos - 1) // 4)::INT AS chunk, count(*)::INT AS entries, "
@@ -644,25 +662,24 @@ ORACLES["winner_accuracy"] = (
     f"QUALIFY row_number() OVER ({G} ORDER BY pred ASC NULLS LAST, entry_id) = 1) SELECT count(*) AS groups, "
     f"{r('avg((pred IS NOT NULL AND coalesce(margin = 0, false))::INT)', 'accuracy')} FROM p"
 )
-_PAIR_INPUT = _padded({"score": ("score", "avg(score)"), "gap": ("l_discount", "avg(gap)")})
-
-
-def _pair_sum(term: str, order: str, scale: str) -> str:
+def _pair_sum(term: str, scale: str, key: str, unordered: bool) -> str:
+    fields = _padded({"score": ("score", "avg(score)"), "gap": ("l_discount", "avg(l_discount)")}, key)
+    later = " AND a.block * 18 + a.pos < b.block * 18 + b.pos" if unordered else ""
     return (
-        f"{ENTRIES}, {_PAIR_INPUT} SELECT a.l_orderkey, {r(f'sum({term}) / {scale}', 'loss')} "
-        f"FROM padded a JOIN padded b ON a.l_orderkey = b.l_orderkey AND {order} GROUP BY a.l_orderkey"
+        f"{ENTRIES}, {fields}, widths AS (SELECT {key}, count(*)::DOUBLE AS w FROM padded GROUP BY {key}) "
+        f"SELECT a.{key}, {r(f'sum({term}) / first({scale})', 'loss')} "
+        f"FROM padded a JOIN padded b ON a.{key} = b.{key}{later} JOIN widths ON widths.{key} = a.{key} GROUP BY a.{key}"
     )
 
 
 _P = "(1 / (1 + exp(-(a.score - b.score))))"
 _T = "(1 / (1 + exp(-(a.gap - b.gap))))"
-ORACLES["pairwise_xent"] = _pair_sum(
-    f"-{_T} * ln(greatest({_P}, 1e-8)) - (1 - {_T}) * ln(greatest(1 - {_P}, 1e-8))", "a.pos < b.pos", "18"
-)
+_XENT = f"-{_T} * ln(greatest({_P}, 1e-8)) - (1 - {_T}) * ln(greatest(1 - {_P}, 1e-8))"
 _TANH = "((exp(2 * (b.gap - a.gap)) - 1) / (exp(2 * (b.gap - a.gap)) + 1))"
-ORACLES["pairwise_softplus"] = _pair_sum(
-    f"least(greatest(18 + ln(1 + exp(b.score - a.score)) * {_TANH}, 0), 18)", "true", "324"
-)
+_SOFTPLUS = f"least(greatest(w + ln(1 + exp(b.score - a.score)) * {_TANH}, 0), w)"
+for _name, _key in (("", "l_orderkey"), ("_wide", "l_suppkey")):
+    ORACLES[f"pairwise_xent{_name}"] = _pair_sum(_XENT, "w", _key, True)
+    ORACLES[f"pairwise_softplus{_name}"] = _pair_sum(_SOFTPLUS, "w * w", _key, False)
 ORACLES["cross_entropy"] = (
     f"{ENTRIES} SELECT "
     + r("avg(-is_win * ln(greatest(score, 1e-8)) - (1 - is_win) * ln(greatest(1 - score, 1e-8)))", "cross_entropy")

@@ -106,14 +106,14 @@ def test_samples_are_balanced(spark):
     assert {tuple(r) for r in down} == {(0, 13), (1, 13)} and {tuple(r) for r in up} == {(0, 87), (1, 87)}
 
 
-def test_padding_gives_exact_width_and_keeps_real_rows(spark):
+def test_padding_gives_exact_width_and_keeps_every_row(spark):
     df = spark.range(40).select(
         F.when(F.col("id") < 25, "big").when(F.col("id") < 37, "mid").otherwise("small").alias("g"), "id",
         F.col("id").cast("double").alias("x"), F.lit(1).alias("is_win"),
     )
     out = reshape.pad_groups(df, "g", "id", ["x"], [], {"is_win": 0}).cache()
-    assert {tuple(r) for r in out.groupBy("g").count().collect()} == {("big", 18), ("mid", 18), ("small", 18)}
-    assert out.filter("is_padded = 0").count() == 18 + 12 + 3
+    sizes = {tuple(r) for r in out.groupBy("g", "block").agg(F.count("*"), F.sum("is_win")).collect()}
+    assert sizes == {("big", 0, 18, 18), ("big", 1, 18, 7), ("mid", 0, 18, 12), ("small", 0, 18, 3)}
     assert {r["x"] for r in out.filter("g = 'small' AND is_padded = 1").collect()} == {38.0}
 
 
