@@ -30,6 +30,7 @@ def release() -> None:
     if _resident:
         _resident.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def whole_text(name: str = "text"):
@@ -81,13 +82,20 @@ def map_batches(
     added: StructType,
     drop: tuple[str, ...] = (),
     limit: int = SLICE_BYTES,
+    tables: bool = False,
 ) -> DataFrame:
-    """Append the columns that ``work`` makes from each slice of rows; ``drop`` names columns not carried on."""
+    """Append the columns that ``work`` makes from each slice of rows; ``drop`` names columns not carried on.
+
+    Workers are used again by later stages: unless ``work`` asks for :func:`resident` ``tables``, those of an earlier
+    operator are let go first.
+    """
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = StructType(kept + list(added.fields))
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            release()
         for batch in batches:
             for part in slices(batch, column, limit):
                 made = work(part)

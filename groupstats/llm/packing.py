@@ -69,7 +69,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, length: int, closing_id: int, id_c
         offsets = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
         return {"pieces": pa.ListArray.from_arrays(pa.array(offsets), pieces)}
 
-    made = map_batches(rows, "_text", work, added, drop=("_text",), limit=STEP_BYTES)
+    made = map_batches(rows, "_text", work, added, drop=("_text",), limit=STEP_BYTES, tables=True)
     return made.select(F.col(id_column), F.explode("pieces").alias("p")).select(id_column, "p.*")
 
 

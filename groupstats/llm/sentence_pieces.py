@@ -124,4 +124,4 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", keep: list
         decoded = [own.decode(ids[a : a + n]) for a, n in zip(bounds.tolist(), counts.tolist())]
         return {"ids": lists(ids, counts), "begins": lists(begins, counts), "ends": lists(ends, counts), "decoded": pa.array(decoded, pa.string())}
 
-    return map_batches(rows, "_text", work, added, drop=("_text",))
+    return map_batches(rows, "_text", work, added, drop=("_text",), tables=True)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from groupstats.llm.batches import gather, long_field, map_batches, text_bytes, whole_text, word_slices
+from groupstats.llm.batches import gather, long_field, map_batches, text_bytes, unused, whole_text, word_slices
 from groupstats.llm.components import components
 from groupstats.llm.hashing import xxh64
 from groupstats.session import shared_folder
@@ -266,3 +266,34 @@ def near_duplicates(
     least = in_class.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = in_class.join(least, "root").select("_fp", "component_id")
     return marked.join(classes, "_fp").select(id_column, "_fp", "component_id")
+
+
+def first_of_classes(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each class of :func:`near_duplicates` one row stays.
+
+    It is the one with the smallest id, rows without an id last; among rows of one id, that of the least hash of all its
+    columns. Rows that are equal in all columns are one row. Only fingerprints and hashes are compared and joined before
+    the rows that stay are picked.
+    """
+    spark = df.sparkSession
+    row_hash = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+    key = {
+        unused(df, "_no_id"): F.col(id_column).isNull(),
+        unused(df, "_id"): F.coalesce(F.col(id_column), F.lit(0)),
+        unused(df, "_row"): row_hash,
+    }
+    path = shared_folder(spark, "fingerprints")
+    keyed = df.select(F.col(text), *[c.alias(n) for n, c in key.items()])
+    fingerprints(keyed, text, shingle).write.parquet(path)
+    marked = spark.read.parquet(path)
+    nodes_path = shared_folder(spark, "nodes")
+    firsts = marked.groupBy("_fp").agg(F.min(F.struct(*key)).alias("_first"))
+    firsts.write.parquet(nodes_path)
+    nodes = spark.read.parquet(nodes_path)
+    roots = components(links(nodes.select("_fp"), max_bits))
+    in_class = nodes.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_fp"))
+    stays = in_class.groupBy("root").agg(F.min("_first").alias("_first")).select("_first.*")
+    kept = df.withColumns(key).join(stays, list(key), "left_semi")
+    return kept.dropDuplicates(list(key)).select(*df.columns)

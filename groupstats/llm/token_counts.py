@@ -277,4 +277,4 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", keep: list[
     def work(part: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"n_tokens": pa.array(transducer(model_path).count_texts(part.column("_text").to_pylist()))}
 
-    return map_batches(rows, "_text", work, StructType([long_field("n_tokens")]), drop=("_text",))
+    return map_batches(rows, "_text", work, StructType([long_field("n_tokens")]), drop=("_text",), tables=True)

@@ -374,7 +374,7 @@ def with_likeness(df: DataFrame, text: str, landmarks: tuple[str, ...]) -> DataF
         values = likeness(landmarks).of(part.column(text).to_pylist())
         return {"likeness": pa.array(list(values), pa.list_(pa.float32()))}
 
-    return map_batches(df, text, work, StructType([StructField("likeness", ArrayType(FloatType()))]), drop=(text,))
+    return map_batches(df, text, work, StructType([StructField("likeness", ArrayType(FloatType()))]), drop=(text,), tables=True)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -387,4 +387,4 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep
         return {"score": pa.array(model.score(values.astype(np.float64)))}
 
     added = StructType.fromDDL("score double")
-    return map_batches(rows, "_text", work, added, drop=("_text",))
+    return map_batches(rows, "_text", work, added, drop=("_text",), tables=True)
