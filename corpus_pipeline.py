@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from groupstats.llm.packing import pack
 from groupstats.llm.queries import in_training
 from groupstats.llm.repeats import remove_repeats
-from groupstats.llm.shingle_sets import KEY, document_key, similar_classes
+from groupstats.llm.simhash import first_of_classes
 from groupstats.llm.toxicity import score_toxicity, train_toxicity
 from groupstats.session import shared_folder
 
@@ -30,15 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+    """One document of each class of SimHash fingerprints of three-word shingles linked at up to two bits.
 
-    The smallest id stays, rows without id come last, and texts of one id are ordered by their hash. Rows that repeat
-    an id, or have none, and repeat the text are one document.
+    The smallest id stays, rows without id come last and take part like others.
     """
-    classes = similar_classes(docs, shingle=5, similarity=0.8)
-    first = classes.groupBy("root").agg(F.min(F.struct(*KEY)).alias("_first")).select("_first.*")
-    kept = docs.withColumns(document_key()).join(first, KEY, "left_semi")
-    return kept.dropDuplicates(KEY).select(*docs.columns)
+    return first_of_classes(docs, shingle=3, max_bits=2)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
