@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 def test_every_query_gives_a_row_for_every_row(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for name, made in QUERIES.items():
-        if name.split("_")[0] in ("op3", "op4", "op9"):
+        if name.split("_")[0] in ("op3", "op4", "op9", "op12"):
             continue
         assert made(spark, FOLDER).select("doc_id").distinct().count() == docs.count(), name
 
