@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groupstats.functions import columns as fc
 from groupstats.skew import (
-    Heavy, as_list, find_heavy, hash_of, number_rows, number_sorted, split_heavy, with_stats,
+    Frame, Heavy, as_list, attach, by_parts, freeze, hash_of, number_rows, running_total, with_stats,
 )
 
 
@@ -33,17 +33,20 @@ def append_popularity(
 
 
 def append_pred_order(
-    df: DataFrame,
+    df: Frame,
     group: str,
     pred: str = "pred",
     name: str = "pred_order",
     heavy: Heavy | None = None,
-) -> DataFrame:
+) -> Frame:
     """Ascending rank of the prediction in its group, ties share the lowest rank.
 
     A missing prediction has no rank.
+
+    Heavy groups are ranked by value: the entries of each (group, prediction) are counted, the counts of lower
+    predictions are summed along a distributed sort of the values, and the ranks are joined back. So neither a group nor a
+    prediction that many of its entries share lies in one task.
     """
-    heavy = heavy or find_heavy(df, group)
     has_rank = F.col(pred).isNotNull() & F.col(group).isNotNull()
 
     def ranked(part: DataFrame) -> DataFrame:
@@ -52,13 +55,14 @@ def append_pred_order(
             "*", F.when(has_rank, F.rank().over(window).cast("long")).alias(name)
         )
 
-    if heavy.rows is None:
-        return ranked(df)
-    large, rest = split_heavy(df, heavy)
-    # any unique order gives the same lowest number among equal predictions
-    placed = number_sorted(large, [group], [F.col(pred).asc_nulls_last()], "_number")
-    placed = with_stats(placed, [group, pred], {name: F.min("_number")}).drop("_number")
-    return ranked(rest).unionByName(placed.select(*df.columns, name))
+    def by_value(large: DataFrame) -> DataFrame:
+        values = large.filter(has_rank).groupBy(group, pred).agg(F.count(F.lit(1)).alias("_count"))
+        lower = running_total(values, [group], [F.col(pred).asc()], "_count", "_lower")
+        ranks = lower.select(group, pred, (F.col("_lower") + 1).cast("long").alias(name))
+        columns = large.columns
+        return attach(large, freeze(ranks), [group, pred], "left").select(*columns, name)
+
+    return by_parts(df, [group], heavy, ranked, by_value)
 
 
 def append_value_flag(

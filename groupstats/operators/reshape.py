@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupstats.functions import fixed
+from groupstats.session import SMALL_ROWS, cut_lineage, setting
 from groupstats.skew import (
-    Fitted, Heavy, as_list, attach, find_heavy, hash_cuts, hash_of, number_rows, number_sorted, split_heavy,
+    HASH_PREFIX, Fitted, Heavy, as_list, attach, by_parts, hash_of, number_rows, number_sorted,
 )
 
 CHUNK_ROWS = 1024
@@ -58,7 +59,6 @@ def group_blocks(
         F.filter(F.sequence(F.lit(1), F.lit(width)), lambda j: j <= spare),
         lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.lit("pad"), j.cast("string"))),
     )
-    heavy = heavy or find_heavy(known, group)
 
     def windowed(part: DataFrame) -> DataFrame:
         ordered = Window.partitionBy(group).orderBy(*order)
@@ -71,15 +71,12 @@ def group_blocks(
         first = F.when(F.col("_number") == 1, digests)  # worked out once a group
         return part.select("*", first.alias("_first")).select("*", F.max("_first").over(Window.partitionBy(group)).alias("_pads")).drop("_first")
 
-    if heavy.rows is None:
-        placed = windowed(known)
-    else:
-        large, rest = split_heavy(known, heavy)
+    def spread(large: DataFrame) -> DataFrame:
         table = large.groupBy(group).agg(*[c.alias(n) for n, c in stats.items()])
         table = table.withColumn("_pads", digests) if mixed else table
-        large = number_sorted(large, [group], order, "_number").join(F.broadcast(table), group)
-        placed = windowed(rest).unionByName(large)
+        return number_sorted(large, [group], order, "_number").join(F.broadcast(table), group)
 
+    placed = by_parts(known, [group], heavy, windowed, spread)
     number = F.col("_number") - 1
     if mixed:  # padding before the entry
         number = number + F.size(F.filter("_pads", lambda d: d < F.col("_digest")))
@@ -189,22 +186,34 @@ def drawn_groups(df: DataFrame, group: str, draws: int, per_draw: int = 1, seed:
 
     Draw ``d``, part ``j`` takes the group at a pseudo-random rank of the hash
     order. The table has ``draws * per_draw`` rows.
+
+    A directory of hash ranges holds how many groups lie before and in each (65,536 rows at most). Every rank finds its range in
+    it, and its group by number inside the range; only the number of groups comes to the driver.
     """
     spark = df.sparkSession
-    ids = df.select(group).filter(F.col(group).isNotNull()).distinct()
-    groups = ids.count()
+    hashed = df.select(group).filter(F.col(group).isNotNull()).distinct().select(hash_of([group], seed).alias("_digest"))
+    hashed = cut_lineage(hashed.withColumn("_range", F.substring("_digest", 1, HASH_PREFIX)))
+    sizes = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    directory = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    groups = hashed.count()
     lots = spark.range(draws * per_draw).select(
         F.floor(F.col("id") / per_draw).cast("int").alias("draw"),
         (F.col("id") % per_draw).cast("int").alias("part"),
     )
     number = F.conv(F.substring(hash_of(["draw", "part"], seed), 1, 12), 16, 10).cast("long")
-    lots = lots.withColumn("_rank", (number % groups + 1).cast("long")).collect()
-    ranks = sorted({r["_rank"] for r in lots})
-    digest = dict(zip(ranks, hash_cuts(ids, [group], seed, ranks)))
-    return spark.createDataFrame(
-        [(r["draw"], r["part"], digest[r["_rank"]]) for r in lots],
-        "draw int, part int, _digest string",
+    lots = lots.withColumn("_rank", F.try_mod(number, F.lit(groups)))  # from 0
+    # ranks meet ranges by slots of equal width: a range lies in those it touches, at most two rows a range in all
+    width = max(1, -(-groups >> 4 * HASH_PREFIX))
+    slots = F.sequence(F.floor(F.col("_before") / width), F.floor((F.col("_before") + F.col("_size") - 1) / width))
+    directory = directory.withColumn("_slot", F.explode(slots))
+    placed = lots.withColumn("_slot", F.floor(F.col("_rank") / width)).join(F.broadcast(directory), "_slot").filter(
+        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))
     )
+    placed = placed.select("draw", "part", "_range", (F.col("_rank") - F.col("_before") + 1).alias("_number"))
+    inside = Window.partitionBy("_range").orderBy("_digest")
+    numbered = hashed.withColumn("_number", F.row_number().over(inside).cast("long"))
+    return placed.join(numbered, ["_range", "_number"]).select("draw", "part", "_digest")
 
 
 def draw_groups(df: DataFrame, group: str, draws: int, per_draw: int = 1, seed: int = 0) -> DataFrame:
@@ -213,7 +222,7 @@ def draw_groups(df: DataFrame, group: str, draws: int, per_draw: int = 1, seed:
     Entries of all parts of a draw form one merged group named by ``draw``,
     ready for :func:`group_rows` with ``draw`` as the group.
     """
-    lots = drawn_groups(df, group, draws, per_draw, seed)
+    lots = cut_lineage(drawn_groups(df, group, draws, per_draw, seed))
     hashed = df.withColumn("_digest", hash_of([group], seed))
-    small = draws * per_draw <= 100_000
+    small = draws * per_draw <= setting(df.sparkSession, SMALL_ROWS)
     return attach(hashed, Fitted(lots, small), "_digest").drop("_digest")

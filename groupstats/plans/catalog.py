@@ -15,6 +15,7 @@ from groupstats.operators import (
 from groupstats.plans import fitted
 from groupstats.plans.views import ENTRY, GROUP, careers, entries, heavy_orders, rounded, slots, table
 from groupstats.session import shared_folder
+from groupstats.skew import split
 from groupstats.streaming.apply import apply_to_stream, read_entries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +431,32 @@ def pred_rank(spark, folder):
     return ranks.append_pred_order(df, GROUP, heavy=heavy_orders(spark, folder))
 
 
+@query
+def group_chain(spark, folder):
+    """Five group operators on a table that is searched for heavy groups and split once."""
+    df = entries(spark, folder).select("l_suppkey", ENTRY, "time", "odds", "pred", "l_quantity")
+    cut = split(df, "l_suppkey")
+    cut = groups.append_margin(cut, "l_suppkey", "time")
+    cut = ranks.append_popularity(cut, "l_suppkey", "odds", ENTRY)
+    cut = ranks.append_pred_order(cut, "l_suppkey")
+    cut = ranks.append_pick(cut, "l_suppkey", "pred", ENTRY, "argmax")
+    cut = groups.leave_one_out(cut, "l_suppkey", {"rest": "l_quantity"})
+    out = cut.merged().select(
+        "l_suppkey", ENTRY, "margin", "pops_order", "pred_order", "pred_bin", "rest", "others"
+    )
+    return _round(out, ["margin", "rest"])
+
+
+@query
+def draw_many_groups(spark, folder):
+    """100,000 draws of two groups: entries and the least and greatest entry of each draw."""
+    df = entries(spark, folder).select(*ID)
+    drawn = reshape.draw_groups(df, GROUP, draws=100_000, per_draw=2, seed=10)
+    return drawn.groupBy("draw").agg(
+        F.count(F.lit(1)).alias("entries"), F.min(ENTRY).alias("least"), F.max(ENTRY).alias("greatest")
+    )
+
+
 @query
 def top1_pick(spark, folder):
     df = entries(spark, folder).select(*ID, "pred")

@@ -571,6 +571,25 @@ ORACLES["group_rows"] = (
     f"string_agg({_millionths('l_extendedprice')} || ',' || {_millionths('l_quantity')}, ',' ORDER BY pos) AS x, "
     f"string_agg({_millionths('score')}::VARCHAR, ',' ORDER BY pos) AS y FROM p GROUP BY ALL"
 )
+_P = "PARTITION BY l_suppkey"
+ORACLES["group_chain"] = (
+    f"{ENTRIES}, m AS (SELECT *, nullif(\"time\", 0) AS t, CASE WHEN odds >= 1 THEN odds ELSE 99 END AS o FROM e "
+    "WHERE l_suppkey IS NOT NULL) "
+    f"SELECT l_suppkey, entry_id, {r(f't - min(t) OVER ({_P})', 'margin')}, "
+    f"row_number() OVER ({_P} ORDER BY o, entry_id) AS pops_order, "
+    f"CASE WHEN pred IS NOT NULL THEN rank() OVER ({_P} ORDER BY pred NULLS LAST) END AS pred_order, "
+    f"(pred IS NOT NULL AND row_number() OVER ({_P} ORDER BY pred DESC NULLS LAST, entry_id) = 1)::INT AS pred_bin, "
+    f"{r(f'sum(l_quantity) OVER ({_P}) - l_quantity', 'rest')}, count(*) OVER ({_P}) - 1 AS others FROM m"
+)
+ORACLES["draw_many_groups"] = (
+    f"{ENTRIES}, g AS (SELECT l_orderkey, row_number() OVER (ORDER BY md5('10:' || l_orderkey)) AS i, "
+    "count(*) OVER () AS n FROM (SELECT DISTINCT l_orderkey FROM e)), "
+    "lots AS (SELECT (k // 2)::INT AS draw, (k % 2)::INT AS part FROM range(200000) t(k)), "
+    "d AS (SELECT draw, part, ('0x' || substr(md5('10:' || draw || ':' || part), 1, 12))::BIGINT "
+    "% (SELECT max(n) FROM g) + 1 AS i FROM lots) "
+    "SELECT draw, count(*) AS entries, min(entry_id) AS least, max(entry_id) AS greatest "
+    "FROM d JOIN g USING (i) JOIN e USING (l_orderkey) GROUP BY draw"
+)
 ORACLES["draw_groups"] = (
     f"{ENTRIES}, g AS (SELECT l_orderkey, row_number() OVER (ORDER BY md5('9:' || l_orderkey)) AS i, "
     "count(*) OVER () AS n FROM (SELECT DISTINCT l_orderkey FROM e)), "

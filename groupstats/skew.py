@@ -1,11 +1,11 @@
 """Group work that stays balanced when one key holds a large share of all rows.
 
-``find_heavy`` counts rows per key (combined before the shuffle) and keeps the
-keys above ``spark.groupstats.heavyRows``, largest first and at most
+``find_heavy`` sketches the frequent keys and keeps those above
+``spark.groupstats.heavyRows``, largest first and at most
 ``spark.groupstats.maxHeavy`` of them. That limit is what bounds every
 broadcast below. Keys beyond it are still processed: they take the ordinary
-shuffle path, where by counting none of them can hold more than
-``total / maxHeavy`` rows.
+shuffle path, where none of them can hold more than a few
+``total / maxHeavy`` rows. :func:`split` cuts a table once for a chain of operators.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupstats.session import HEAVY_ROWS, MAX_HEAVY, SMALL_ROWS, cut_lineage, setting
 
+SKETCH_LEAST, SKETCH_LIMIT = 4096, 1_000_000  # counters of a sketch
 HASH_PREFIX = 4  # hex digits: 65,536 equal hash ranges
 PAST_LAST = "g"  # sorts after every hex digest
 
@@ -52,23 +54,37 @@ class Heavy:
     rows: DataFrame | None
 
 
+def _key_hash(keys: Sequence[str]) -> Column:
+    """A number for each key, NULL keys included."""
+    return F.xxhash64(*keys, *[F.col(k).isNull() for k in keys])
+
+
 def find_heavy(df: DataFrame, keys: str | Sequence[str]) -> Heavy:
-    """Find the heavy keys of ``df`` with one pre-aggregated counting job.
+    """Find the heavy keys of ``df``.
+
+    One pass sketches the frequent keys: every task keeps ``maxHeavy`` counters (4,096 at least), the sketches are merged, and no rows are
+    shuffled. A key is sure to be found if it holds more than ``heavyRows`` rows and more than the sketch's error, below
+    ``4 / maxHeavy`` of the rows; others take the ordinary path. Only if the sketch shows some key above ``heavyRows`` is the
+    table read again, to count the rows of such keys exactly.
 
     ``df`` may be a narrower table whose counts per key are at least those of
     the table to be processed, for example the base table before its joins.
     """
     keys = as_list(keys)
     spark = df.sparkSession
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = (
-        sizes.filter(F.col("_rows") > setting(spark, HEAVY_ROWS))
-        .orderBy(F.desc("_rows"))
-        .limit(setting(spark, MAX_HEAVY))
-        .select(*keys)
-        .toArrow()
+    limit, most = setting(spark, HEAVY_ROWS), setting(spark, MAX_HEAVY)
+    tracked = min(max(most, SKETCH_LEAST), SKETCH_LIMIT)
+    sketch = df.select(_key_hash(keys).alias("_key_hash")).agg(
+        F.expr(f"approx_top_k(_key_hash, {tracked}, {tracked})").alias("top")
     )
-    rows = spark.createDataFrame(largest) if largest.num_rows else None
+    frequent = sketch.select(F.explode("top").alias("t")).select("t.item", "t.count").filter(F.col("count") > limit)
+    hashes = frequent.select("item").toArrow()  # at most maxHeavy
+    if not hashes.num_rows:
+        return Heavy(tuple(keys), None)
+    listed = F.broadcast(spark.createDataFrame(hashes, "item long"))
+    sizes = df.join(listed, _key_hash(keys) == F.col("item"), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.filter(F.col("_rows") > limit).orderBy(F.desc("_rows")).limit(most).select(*keys).toArrow()
+    rows = spark.createDataFrame(largest, sizes.select(*keys).schema) if largest.num_rows else None
     return Heavy(tuple(keys), rows)
 
 
@@ -83,15 +99,86 @@ def split_heavy(df: DataFrame, heavy: Heavy) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(df.join(probe, match, "left_semi")), df.join(probe, match, "left_anti")
 
 
+@dataclass(frozen=True)
+class SplitFrame:
+    """A table cut into the rows of heavy keys (``large``, or None) and all others, for a chain of group operators.
+
+    Group operators take it in place of a table and keep the cut, so that the table is searched for heavy keys and
+    split once for the chain: see :func:`split`. Its methods are those of a DataFrame that work row by row.
+    """
+
+    rest: DataFrame
+    large: DataFrame | None
+    keys: tuple[str, ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return self.rest.columns
+
+    @property
+    def dtypes(self) -> list[tuple[str, str]]:
+        return self.rest.dtypes
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> SplitFrame:
+        """Both parts changed row by row; the keys must stay."""
+        return SplitFrame(change(self.rest), None if self.large is None else change(self.large), self.keys)
+
+    def select(self, *columns) -> SplitFrame:
+        return self.each(lambda df: df.select(*columns))
+
+    def filter(self, condition) -> SplitFrame:
+        return self.each(lambda df: df.filter(condition))
+
+    def withColumn(self, name: str, column: Column) -> SplitFrame:  # noqa: N802
+        return self.each(lambda df: df.withColumn(name, column))
+
+    def withColumns(self, columns: dict[str, Column]) -> SplitFrame:  # noqa: N802
+        return self.each(lambda df: df.withColumns(columns))
+
+    def drop(self, *columns: str) -> SplitFrame:
+        return self.each(lambda df: df.drop(*columns))
+
+    def merged(self) -> DataFrame:
+        """All rows in one table again."""
+        return self.rest if self.large is None else self.rest.unionByName(self.large)
+
+
+Frame = TypeVar("Frame", DataFrame, SplitFrame)
+
+
+def split(df: DataFrame, keys: str | Sequence[str], heavy: Heavy | None = None) -> SplitFrame:
+    """Find the heavy keys of ``df`` and cut it for a chain of operators on ``keys``; end the chain with ``merged``."""
+    heavy = heavy or find_heavy(df, keys)
+    if heavy.rows is None:
+        return SplitFrame(df, None, heavy.keys)
+    large, rest = split_heavy(df, heavy)
+    return SplitFrame(rest, large, heavy.keys)
+
+
+def by_parts(
+    df: Frame,
+    keys: Sequence[str],
+    heavy: Heavy | None,
+    ordinary: Callable[[DataFrame], DataFrame],
+    spread: Callable[[DataFrame], DataFrame],
+) -> Frame:
+    """Work on the rows of ordinary keys and on those of heavy keys in the way that suits each."""
+    cut = df if isinstance(df, SplitFrame) else split(df, keys, heavy)
+    if list(cut.keys) != list(keys):
+        raise ValueError(f"split by {cut.keys}, not by {tuple(keys)}")
+    made = SplitFrame(ordinary(cut.rest), None if cut.large is None else spread(cut.large), cut.keys)
+    return made if isinstance(df, SplitFrame) else made.merged()
+
+
 # ------------------------------------------------------------ group statistics
 
 
 def with_stats(
-    df: DataFrame,
+    df: Frame,
     keys: str | Sequence[str],
     stats: dict[str, Column],
     heavy: Heavy | None = None,
-) -> DataFrame:
+) -> Frame:
     """Append aggregates of each row's group; rows with a NULL key get NULL.
 
     Ordinary groups share one Window, hence one shuffle for all statistics.
@@ -101,7 +188,6 @@ def with_stats(
     keys = as_list(keys)
     if not stats:
         return df
-    heavy = heavy or find_heavy(df, keys)
     window = Window.partitionBy(*keys)
     present = all_present(keys)
 
@@ -109,13 +195,14 @@ def with_stats(
         values = [F.when(present, c.over(window)).alias(n) for n, c in stats.items()]
         return part.select("*", *values)
 
-    if heavy.rows is None:
-        return windowed(df)
-    large, rest = split_heavy(df, heavy)
-    table = large.filter(present).groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    table = F.broadcast(_prefixed(table, keys))
-    joined = large.join(table, _same_keys(large, table, keys), "left")
-    return windowed(rest).unionByName(joined.select(large["*"], *stats))
+    def joined(large: DataFrame) -> DataFrame:
+        table = large.filter(present).groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+        if isinstance(df, SplitFrame):  # at most maxHeavy rows; in a chain the plan must not double with each operator
+            table = large.sparkSession.createDataFrame(table.toArrow(), table.schema)
+        table = F.broadcast(_prefixed(table, keys))
+        return large.join(table, _same_keys(large, table, keys), "left").select(large["*"], *stats)
+
+    return by_parts(df, keys, heavy, windowed, joined)
 
 
 # -------------------------------------------------------------- fitted tables
@@ -159,6 +246,8 @@ def attach(
     keys = as_list(keys)
     if fitted.small:
         return df.join(F.broadcast(fitted.rows), keys, how)
+    if df.isStreaming:  # a stream cannot be searched ahead, and a micro-batch is bounded by its trigger
+        return df.join(fitted.rows, keys, how)
     heavy = find_heavy(df if probe is None else probe, keys)
     if heavy.rows is None:
         return df.join(fitted.rows, keys, how)
@@ -173,24 +262,20 @@ def attach(
 
 
 def number_rows(
-    df: DataFrame,
+    df: Frame,
     keys: str | Sequence[str],
     order: Sequence[Column],
     name: str,
     heavy: Heavy | None = None,
-) -> DataFrame:
+) -> Frame:
     """Number the rows of each group 1..n by ``order``, which must be unique."""
     keys = as_list(keys)
-    heavy = heavy or find_heavy(df, keys)
 
     def numbered(part: DataFrame) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order)
         return part.select("*", F.row_number().over(window).cast("long").alias(name))
 
-    if heavy.rows is None:
-        return numbered(df)
-    large, rest = split_heavy(df, heavy)
-    return numbered(rest).unionByName(number_sorted(large, keys, order, name))
+    return by_parts(df, keys, heavy, numbered, lambda large: number_sorted(large, keys, order, name))
 
 
 def number_sorted(
@@ -226,6 +311,27 @@ def number_sorted(
     return joined.select(*df.columns, number.cast("long").alias(name))
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
+) -> DataFrame:
+    """Append the sum of ``value`` over the rows of the same keys before this one in ``order``.
+
+    As :func:`number_sorted`, by a distributed sort: a key of any size is summed in the parts that the sort makes of it.
+    """
+    placed = cut_lineage(df.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part")))
+    earlier = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    inside = earlier(Window.partitionBy(*keys, "_part").orderBy(*order))
+    parts = placed.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum")).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col("_part").alias("_key__part"),
+        F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*keys).orderBy("_part"))), F.lit(0)).alias("_before"),
+    )
+    summed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    parts = F.broadcast(parts)  # at most keys + partitions
+    joined = summed.join(parts, _same_keys(summed, parts, [*keys, "_part"]))
+    return joined.select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
 # ----------------------------------------------------------- exact hash order
 
 
