@@ -3,50 +3,82 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groupstats.operators.evaluate import fold_summary, top1_report
 from groupstats.operators.splits import fold_frames
 
-MISSING = "-1e9D"
 METRICS = ["win_hit", "place_hit", "win_return", "place_return"]
+#: What a job learns with unless told otherwise.
+DEFAULTS = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 32}
 
 
 @dataclass(frozen=True)
 class Boosting:
-    """What is learned: a regression or a binary label, from which columns."""
+    """What is learned: a regression or a binary label, from which columns.
+
+    ``features`` are numbers. A missing (or NaN) one is told to the trees: it takes the mean of the training rows, and
+    each column with missing values there has a flag of its own beside it. ``codes`` are nominal: trees split them by sets of values.
+    Of each, the ``max_bins - 2`` most frequent values are told apart; all others and NULL are one value.
+    ``params`` go to the MLlib learner, such as ``subsamplingRate`` (rows) and ``featureSubsetStrategy`` (columns).
+    """
 
     features: Sequence[str]
     label: str
     objective: str = "regression"
     params: Mapping[str, object] | None = None
+    codes: Sequence[str] = ()
+    max_bins: int = 64
 
-    def stages(self, validation: str | None = None) -> Pipeline:
+    def learner(self, **more: object):
         kind = {"regression": GBTRegressor, "binary": GBTClassifier}[self.objective]
-        params = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 32, **(self.params or {})}
-        learner = kind(featuresCol="_features", labelCol=self.label, **params)
-        if validation:
-            learner.setValidationIndicatorCol(validation)
-        filled = ", ".join(
-            f"coalesce(cast(`{f}` AS double), {MISSING}) AS `_in_{f}`" for f in self.features
-        )
-        # trees take no missing values: they get a value of their own that a split can tell apart
-        fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
-        assembler = VectorAssembler(
-            inputCols=[f"_in_{f}" for f in self.features], outputCol="_features"
-        )
-        return Pipeline(stages=[fill, assembler, learner])
+        params = {**DEFAULTS, "maxBins": self.max_bins, **(self.params or {}), **more}
+        return kind(featuresCol="_features", labelCol=self.label, **params)
+
+    def preparation(self, train: DataFrame) -> list[Transformer]:
+        """Transformers that make the feature vector, with what they need counted in ``train`` (two passes)."""
+        stages: list[Transformer] = []
+        if self.codes:
+            labels = frequent_values(train, self.codes, self.max_bins - 2)
+            stages.append(
+                StringIndexerModel.from_arrays_of_labels(
+                    [labels[c] for c in self.codes], [f"_text_{c}" for c in self.codes],
+                    [f"_code_{c}" for c in self.codes], handleInvalid="keep",
+                )
+            )
+            texts = ", ".join(f"CAST(`{c}` AS STRING) AS `_text_{c}`" for c in self.codes)
+            stages.insert(0, SQLTransformer(statement=f"SELECT *, {texts} FROM __THIS__"))
+        number = lambda f: F.nullif(F.col(f).cast("double"), F.lit(float("nan")))
+        found = train.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.avg(number(f)).alias(f"mean {f}") for f in self.features],
+            *[F.count(number(f)).alias(f"known {f}") for f in self.features],
+        ).first()
+        value = "nullif(CAST(`{}` AS DOUBLE), CAST('NaN' AS DOUBLE))"
+        columns = {}
+        for f in self.features:
+            columns[f"_in_{f}"] = f"coalesce({value.format(f)}, {float(found[f'mean {f}'] or 0.0)!r}D)"
+            if found[f"known {f}"] < found["rows"]:
+                columns[f"_missing_{f}"] = f"CAST({value.format(f)} IS NULL AS DOUBLE)"
+        if columns:
+            made = ", ".join(f"{text} AS `{name}`" for name, text in columns.items())
+            stages.append(SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"))
+        inputs = [*columns, *[f"_code_{c}" for c in self.codes]]
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
+        return stages
 
     def evaluator(self):
         if self.objective == "binary":
@@ -58,14 +90,24 @@ class Boosting:
         return self.objective == "binary"
 
 
+def frequent_values(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[str]]:
+    """Up to ``most`` values of each column as texts, the most frequent first, ties in text order; all in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    counts = df.select(F.inline(pairs)).filter("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("c").orderBy(F.desc("n"), "v")
+    kept = counts.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most).orderBy("c", "i").collect()
+    return {c: [r["v"] for r in kept if r["c"] == c] for c in columns}
+
+
 def fit_boosting(train: DataFrame, job: Boosting, valid: DataFrame | None = None) -> PipelineModel:
     """Fit trees; with validation rows, stop when they no longer improve."""
+    preparation = job.preparation(train)
     if valid is None:
-        return job.stages().fit(train)
+        return Pipeline(stages=[*preparation, job.learner()]).fit(train)
     marked = train.withColumn("_is_valid", F.lit(False)).unionByName(
         valid.withColumn("_is_valid", F.lit(True))
     )
-    return job.stages("_is_valid").fit(marked)
+    return Pipeline(stages=[*preparation, job.learner(validationIndicatorCol="_is_valid")]).fit(marked)
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "pred") -> DataFrame:
@@ -77,47 +119,70 @@ def score(model: PipelineModel, df: DataFrame, name: str = "pred") -> DataFrame:
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """(feature, importance), one row per input column of the model."""
+    """(feature, importance), one row per listed column; a missing flag counts for its column."""
     weights = model.stages[-1].featureImportances.toArray()
-    rows = [(f, float(w)) for f, w in zip(features, weights)]
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+    inputs = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    total = dict.fromkeys(features, 0.0)
+    for name, weight in zip(inputs, weights):
+        total[next(name.removeprefix(p) for p in ("_in_", "_missing_", "_code_") if name.startswith(p))] += float(weight)
+    return SparkSession.active().createDataFrame(list(total.items()), "feature string, importance double")
 
 
 def fit_folds(
     df: DataFrame, job: Boosting, folds: int, group: str, entry: str | Sequence[str],
-    fold: str = "fold", mode: str = "argmin",
+    fold: str = "fold", mode: str = "argmin", parallelism: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit one model per fold; returns the fold scores and their summary."""
-    scores = None
-    for i in range(folds):
+    """Fit one model per fold; returns the fold scores and their summary. Each model scores its fold once."""
+
+    def one(i: int) -> tuple:
         train, test = fold_frames(df, i, fold)
-        model = fit_boosting(train, job, test)
-        report = top1_report(score(model, test), group, entry, mode=mode)
-        report = report.select(F.lit(i).alias("fold"), *METRICS)
-        scores = report if scores is None else scores.unionByName(report)
+        report = top1_report(score(fit_boosting(train, job, test), test), group, entry, mode=mode).first()
+        return (i, *[report[m] for m in METRICS])
+
+    rows = _in_parallel(one, range(folds), parallelism)
+    fields = ", ".join(f"{m} double" for m in METRICS)
+    scores = df.sparkSession.createDataFrame(rows, f"fold int, {fields}")
     return scores, fold_summary(scores, METRICS)
 
 
+def _in_parallel(work: Callable, items: Iterable, parallelism: int) -> list:
+    """Results in the order of the items; Spark shares its executors among the jobs of all threads."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
+
+
+def fold_metrics(
+    df: DataFrame, job: Boosting, trials: Sequence[Mapping], folds: int, fold: str = "fold", parallelism: int = 4
+) -> list[float]:
+    """Mean validation metric of each parameter set over given folds.
+
+    The feature vectors are made once, kept, and shared by all trials and folds, which run from a pool of threads.
+    """
+    prepared = PipelineModel(job.preparation(df)).transform(df).select("_features", job.label, fold).persist()
+    try:
+        parts = [fold_frames(prepared, i, fold) for i in range(folds)]
+
+        def one(place: tuple[int, int]) -> float:
+            trial, i = place
+            train, test = parts[i]
+            return job.evaluator().evaluate(job.learner(**trials[trial]).fit(train).transform(test))
+
+        places = [(t, i) for t in range(len(trials)) for i in range(folds)]
+        values = _in_parallel(one, places, parallelism)
+    finally:
+        prepared.unpersist()
+    return [sum(values[t * folds : (t + 1) * folds]) / folds for t in range(len(trials))]
+
+
 def cross_validate(
     df: DataFrame, job: Boosting, folds: int, fold: str = "fold",
     grid: Mapping[str, Sequence] | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """Mean validation metric of every parameter combination over given folds."""
-    pipeline = job.stages()
-    learner = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in (grid or {}).items():
-        builder = builder.addGrid(learner.getParam(name), list(values))
-    maps = builder.build()
-    validator = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=maps, evaluator=job.evaluator(),
-        numFolds=folds, foldCol=fold, parallelism=parallelism,
-    )
-    model = validator.fit(df)
-    rows = [
-        (i, {p.name: str(v) for p, v in m.items()}, float(metric))
-        for i, (m, metric) in enumerate(zip(maps, model.avgMetrics))
-    ]
+    names = list(grid or {})
+    trials = [dict(zip(names, values)) for values in product(*(grid or {}).values())]
+    metrics = fold_metrics(df, job, trials, folds, fold, parallelism)
+    rows = [(i, {k: str(v) for k, v in t.items()}, float(m)) for i, (t, m) in enumerate(zip(trials, metrics))]
     return df.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, metric double")
 
 
@@ -128,32 +193,27 @@ def random_trials(space: Mapping[str, Sequence], trials: int, seed: int = 32) ->
 
 
 def search(
-    df: DataFrame, job: Boosting, trials: Sequence[Mapping], folds: int, fold: str = "fold"
+    df: DataFrame, job: Boosting, trials: Sequence[Mapping], folds: int, fold: str = "fold", parallelism: int = 4
 ) -> DataFrame:
     """Mean fold metric of each listed parameter set, best first."""
-    results = None
-    for i, params in enumerate(trials):
-        trial = Boosting(job.features, job.label, job.objective, {**(job.params or {}), **params})
-        one = cross_validate(df, trial, folds, fold).select(
-            F.lit(i).alias("trial"), F.lit(str(dict(params))).alias("params"), "metric"
-        )
-        results = one if results is None else results.unionByName(one)
-    best = F.desc("metric") if job.larger_is_better else F.asc("metric")
-    return results.orderBy(best)
+    metrics = fold_metrics(df, job, trials, folds, fold, parallelism)
+    rows = [(i, str(dict(t)), float(m)) for i, (t, m) in enumerate(zip(trials, metrics))]
+    rows.sort(key=lambda r: -r[2] if job.larger_is_better else r[2])
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, metric double")
 
 
-def ablation(train: DataFrame, test: DataFrame, job: Boosting) -> DataFrame:
+def ablation(train: DataFrame, test: DataFrame, job: Boosting, parallelism: int = 4) -> DataFrame:
     """Refit without each feature: its score, and whether the score is not worse."""
-    evaluator = job.evaluator()
-
-    def metric(features: Sequence[str]) -> float:
-        smaller = Boosting(features, job.label, job.objective, job.params)
-        return evaluator.evaluate(fit_boosting(train, smaller).transform(test))
+    def metric(left_out: str | None) -> float:
+        smaller = replace(
+            job, features=[f for f in job.features if f != left_out], codes=[c for c in job.codes if c != left_out]
+        )
+        return job.evaluator().evaluate(fit_boosting(train, smaller).transform(test))
 
-    full = metric(job.features)
+    columns = [*job.features, *job.codes]
+    full, *values = _in_parallel(metric, [None, *columns], parallelism)
     rows = []
-    for left_out in job.features:
-        value = metric([f for f in job.features if f != left_out])
+    for left_out, value in zip(columns, values):
         not_worse = value >= full if job.larger_is_better else value <= full
         rows.append((left_out, float(value), "T" if not_worse else "F"))
     return train.sparkSession.createDataFrame(rows, "feature string, score double, unnecessary string")

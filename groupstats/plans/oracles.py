@@ -716,6 +716,14 @@ ORACLES["loo_reward"] = (
     f"{r('b1 - (s1 + b1) / 2', 'reward_buy')} FROM w"
 )
 
+# ------------------------------------------------------------------------ models
+
+ORACLES["gbt_search"] = "SELECT i::INT AS trial, true AS in_order, true AS measured FROM range(6) t(i)"
+ORACLES["gbt_nominal"] = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, count(*) AS rows, true AS exact, true AS beats_constant FROM lineitem {join}"
+    for kind, join in (("set", "JOIN part ON p_partkey = l_partkey"), ("flag", "JOIN part ON p_partkey = l_partkey"))
+)
+
 # --------------------------------------------------------------------- streaming
 
 ORACLES["stream_apply"] = (
