@@ -1,10 +1,12 @@
 """Declared schemas, scans, sinks, staged runs, streaming and models."""
 
+import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from groupstats.operators import models
 from groupstats.plans import fitted
-from groupstats.plans.stages import StagedRun
+from groupstats.plans.stages import FitStage, FittedStage, StagedRun
 from groupstats.sources import files, schema
 from groupstats.streaming.apply import apply_to_stream, read_entries
 
@@ -52,8 +54,61 @@ def test_staged_run_keeps_results_and_fits_on_training_rows(spark, tmp_path):
     assert sorted(r["x"] for r in first.fit_gene(train).collect()) == [2.0, 4.0, 6.0]
     new = spark.createDataFrame([(None,)], "x double")
     assert first.apply(new).first()["x"] == 4.0  # the mean of the training rows
-    run().fit_gene(train)
+    second = run()
+    second.fit_gene(train)
     assert len(calls) == 2  # once to fit, once to apply; the second run read the table
+    assert second.models["fill"].state == {"x": 4.0}  # and the model
+
+
+@pytest.mark.parametrize("stage, column", [
+    (fitted.global_fill(["x"], ["c"]), "x"), (fitted.global_scale(["x"]), "x"), (fitted.target_means("c", "x", "te", smoothing=False), "te"),
+    (fitted.rare_fold(["c"], keep_above=2), "c"), (fitted.labels(["c"]), "c"),
+])
+@pytest.mark.parametrize("small", [100_000, 1])
+def test_saved_stages_give_equal_rows_in_another_session(spark, tmp_path, stage, column, small):
+    spark.conf.set("spark.groupstats.smallRows", str(small))
+    try:
+        train = spark.createDataFrame([("a", 1.0), ("a", 2.5), ("b", None), (None, 4.0), ("a", 7.0)], "c string, x double")
+        new = spark.createDataFrame([("a", None), ("b", 3.0), ("z", 9.0), (None, 1.0)], "c string, x double")
+        model = stage.fit(train)
+        rows = lambda m: sorted(map(repr, m.transform(new).select(column).collect()))
+        model.save(str(tmp_path / "model"))
+        stage.save(str(tmp_path / "stage"))
+        Pipeline(stages=[stage]).fit(train).save(str(tmp_path / "pipeline"))
+        other = spark.newSession()
+        other.createDataFrame([(1,)], "a int").count()
+        loaded = FittedStage.load(str(tmp_path / "model"))
+        assert rows(loaded) == rows(model) and loaded.uid == model.uid
+        assert rows(FitStage.load(str(tmp_path / "stage")).fit(train)) == rows(model)
+        assert rows(PipelineModel.load(str(tmp_path / "pipeline"))) == rows(model)
+    finally:
+        spark.conf.unset("spark.groupstats.smallRows")
+
+
+def test_changed_parameters_and_input_run_stages_again(spark, tmp_path):
+    calls = []
+
+    def add(df, n):
+        calls.append(f"add {n}")
+        return df.withColumn("x", F.col("x") + n)
+
+    def double(df):
+        calls.append("double")
+        return df.withColumn("x", F.col("x") * 2)
+
+    def run(n, path="in"):
+        calls.clear()
+        staged = StagedRun(str(tmp_path / "kept")).add(add, {"n": n}, name="add").add(double, name="double")
+        found = sorted(r["x"] for r in staged.fit_gene(spark.read.parquet(str(tmp_path / path))).collect())
+        return found, list(calls)
+
+    spark.createDataFrame([(1.0,), (2.0,)], "x double").write.parquet(str(tmp_path / "in"))
+    assert run(1) == ([4.0, 6.0], ["add 1", "double"])
+    assert run(1) == ([4.0, 6.0], [])
+    assert run(3) == ([8.0, 10.0], ["add 3", "double"])
+    assert run(1) == ([4.0, 6.0], [])
+    spark.createDataFrame([(5.0,)], "x double").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run(1) == ([4.0, 6.0, 12.0], ["add 1", "double"])
 
 
 def test_refit_computes_anew(spark):
