@@ -3,6 +3,7 @@
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groupstats.operators import models
 from groupstats.plans import fitted
@@ -24,6 +25,29 @@ def test_schema_guards_labels_and_scan_reads_only_declared_columns(spark, tmp_pa
     assert files.read_table(spark, str(tmp_path / "table")).count() == 2
 
 
+def test_csv_files_of_several_layouts(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b,c\n1,x,1.5\n2,NA,nan\n3,\"p, q\",\n")
+    (folder / "2.csv").write_text("\ufeffc,more,a,b\n2.5,7,4,y\n1e3,8,5.0,null\n")
+    (folder / "3.csv").write_text("")
+    (folder / "4.csv").write_text("b,c,a\n")
+    declared = T.StructType.fromDDL("a int, b string, c double")
+    read = lambda **more: sorted(tuple(r) for r in files.read_csv(spark, str(folder), declared, **more).collect())
+    want = [(1, "x", 1.5), (2, None, None), (3, "p, q", None), (4, "y", 2.5), (5, None, 1000.0)]
+    assert read() == want and files.bad_values(spark, str(folder), declared).count() == 0
+    (folder / "5.csv").write_text("b,c,a\nz,1,5\n\"w\",about 3,6.5\n")
+    anyhow = {tuple(r) for r in files.read_csv(spark, str(folder), declared, bad="null").collect()}
+    assert anyhow == {*want, (5, "z", 1.0), (None, "w", None)}
+    found = {tuple(r)[1:] for r in files.bad_values(spark, str(folder), declared).collect()}
+    assert found == {("a", "6.5", '{"b":"w","c":"about 3","a":"6.5"}'), ("c", "about 3", '{"b":"w","c":"about 3","a":"6.5"}')}
+    with pytest.raises(Exception, match="column [ac] in"):
+        read()
+    (folder / "6.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="columns not in"):
+        read()
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "list.csv").write_text("b\n\n# note\na\n")
     assert schema.load_removes(spark, str(tmp_path / "list.csv")) == ["a", "b"]
