@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from groupstats.functions import columns as fc
 from groupstats.functions import fixed
 from groupstats.operators.columns import encoded_name
-from groupstats.skew import Fitted, attach, freeze, number_rows
+from groupstats.skew import Fitted, attach, attach_many, freeze, number_rows
 
 # -------------------------------------------------------------- value counts
 
@@ -50,15 +50,15 @@ def fit_frequent(df: DataFrame, columns: Sequence[str], at_least: int) -> Fitted
 
 
 def _fold(df: DataFrame, columns: Sequence[str], frequent: Fitted, fill: str, fold_null: bool) -> DataFrame:
-    names, base = df.columns, df
-    for c in columns:
-        table = frequent.rows.filter(F.col("column") == c).select(F.col("value").alias(c), "_frequent")
-        df = attach(df, Fitted(table, frequent.small), c, "left", base.select(c))
-        keep = F.col("_frequent").isNotNull()
+    found = attach_many(df, frequent, "column", "value", {c: F.col(c).cast("string") for c in columns})
+
+    def folded(c: str) -> Column:
+        keep = F.col(f"`_got_{c}`").isNotNull()
         if not fold_null:
             keep = keep | F.col(c).isNull()
-        df = df.withColumn(c, F.when(keep, F.col(c)).otherwise(F.lit(fill))).drop("_frequent")
-    return df.select(*names)
+        return F.when(keep, F.col(c)).otherwise(F.lit(fill)).alias(c)
+
+    return found.select(*[folded(c) if c in set(columns) else c for c in df.columns])
 
 
 def fold_others(
@@ -107,17 +107,10 @@ def label_encode(
     """
     columns = [c for c in df.columns if c in set(columns)]
     labels = labels or fit_labels(df, columns)
-    names, base = df.columns, df
-    for c in columns:
-        table = labels.rows.filter(F.col("column") == c).select(
-            F.col("value").alias("_code"), F.col("_label").cast(kind).alias("_label")
-        )
-        code = F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("_code")
-        df = attach(
-            df.select("*", code), Fitted(table, labels.small), "_code", "left", base.select(code)
-        )
-        df = df.withColumn(c, F.col("_label")).drop("_code", "_label")
-    return df.select(*names)
+    codes = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns}
+    found = attach_many(df, labels, "column", "value", codes)
+    label = lambda c: F.col(f"`_got_{c}`._label").cast(kind).alias(c)
+    return found.select(*[label(c) if c in codes else c for c in df.columns])
 
 
 # ------------------------------------------------------------------- one-hot
@@ -244,29 +237,18 @@ def encode_pairs(
     ]
     if not pairs:
         return df
+    keys = {f"{encoded_name(g)}_{encoded_name(e)}_te": fc.text_key(F.col(e), F.col(g)) for g, e in pairs}
     rows = [
-        F.struct(
-            F.lit(i).alias("_pair"), fc.text_key(F.col(e), F.col(g)).alias("_key"),
-            *[F.col(t) for t in targets],
-        )
-        for i, (g, e) in enumerate(pairs)
+        F.struct(F.lit(stem).alias("_pair"), key.alias("_key"), *[F.col(t) for t in targets]) for stem, key in keys.items()
     ]
     table = freeze(
         df.select(F.inline(F.array(*rows))).groupBy("_pair", "_key").agg(*_target_stats(targets))
     )
-    priors = _priors(table.rows.filter(F.col("_pair") == 0), targets)
-    names, base = df.columns, df
-    encoded = []
-    for i, (g, e) in enumerate(pairs):
-        stem = f"{encoded_name(g)}_{encoded_name(e)}_te"
-        values = [_smoothed(t, priors[t], k, f, True).alias(f"{stem}_{t}") for t in targets]
-        one = table.rows.filter(F.col("_pair") == i).select(F.col("_key").alias("_pair_key"), *values)
-        key = fc.text_key(F.col(e), F.col(g)).alias("_pair_key")
-        df = attach(
-            df.select("*", key), Fitted(one, table.small), "_pair_key", probe=base.select(key)
-        ).drop("_pair_key")
-        encoded += [f"{stem}_{t}" for t in targets]
-    return df.select(*names, *encoded)
+    priors = _priors(table.rows.filter(F.col("_pair") == next(iter(keys))), targets)
+    values = [_smoothed(t, priors[t], k, f, True).alias(t) for t in targets]
+    found = attach_many(df, Fitted(table.rows.select("_pair", "_key", *values), table.small), "_pair", "_key", keys, "inner")
+    encoded = [F.col(f"`_got_{stem}`").getField(t).alias(f"{stem}_{t}") for stem in keys for t in targets]
+    return found.select(*df.columns, *encoded)
 
 
 # ---------------------------------------------------------------- code sizes

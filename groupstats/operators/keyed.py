@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groupstats.functions import columns as fc
 from groupstats.functions import fixed
 from groupstats.operators.columns import slot_prefix, without_prefix
-from groupstats.skew import Fitted, attach, freeze
+from groupstats.skew import Fitted, attach, attach_many, freeze
 
 
 def fit_key_moments(df: DataFrame, key: str, values: Sequence[str]) -> Fitted:
@@ -64,8 +64,7 @@ def fit_slot_scores(
     """Moments of every slot and key set from one scan and one aggregation."""
     rows = [
         F.struct(
-            F.lit(slot).alias("_slot"),
-            F.lit("_".join(parts)).alias("_set"),
+            F.lit(f"{slot}_{'_'.join(parts)}").alias("_slot"),
             _slot_key(slot, parts).alias("_key"),
             *[F.col(f"{slot}_{t}").alias(t) for t in targets],
         )
@@ -75,7 +74,7 @@ def fit_slot_scores(
     stats = [F.avg(t).alias(f"_avg_{t}") for t in targets]
     stats += [F.stddev_samp(t).alias(f"_std_{t}") for t in targets]
     return freeze(
-        df.select(F.inline(F.array(*rows))).groupBy("_slot", "_set", "_key").agg(*stats)
+        df.select(F.inline(F.array(*rows))).groupBy("_slot", "_key").agg(*stats)
     )
 
 
@@ -93,27 +92,17 @@ def append_slot_scores(
     set and target.
     """
     fitted = fitted or fit_slot_scores(df, slots, keys, targets)
-    base = df
+    looked_up = {f"{slot}_{'_'.join(parts)}": _slot_key(slot, parts) for slot in slots for parts in keys}
+    found = attach_many(df, fitted, "_slot", "_key", looked_up, "inner")
     scores = []
     for slot in slots:
         for parts in keys:
             label = "_".join(parts)
-            tag = f"_{slot}_{label}"
-            table = fitted.rows.filter((F.col("_slot") == slot) & (F.col("_set") == label)).select(
-                F.col("_key").alias(f"_key{tag}"),
-                *[F.col(f"_{m}_{t}").alias(f"_{m}{tag}_{t}") for m in ("avg", "std") for t in targets],
-            )
-            key = _slot_key(slot, parts).alias(f"_key{tag}")
-            df = attach(
-                df.select("*", key), Fitted(table, fitted.small), f"_key{tag}", probe=base.select(key)
-            ).drop(f"_key{tag}")
+            got = F.col(f"`_got_{slot}_{label}`")
             for t in targets:
-                z = fc.standard_score(
-                    F.col(f"{slot}_{t}"), F.col(f"_avg{tag}_{t}"), F.col(f"_std{tag}_{t}"), floor
-                )
+                z = fc.standard_score(F.col(f"{slot}_{t}"), got.getField(f"_avg_{t}"), got.getField(f"_std_{t}"), floor)
                 scores.append(z.alias(slot_score_name(f"{slot}_{t}", f"{slot}_{label}_tmp")))
-    kept = [c for c in df.columns if not c.startswith(("_avg_", "_std_"))]
-    return df.select(*kept, *scores)
+    return found.select(*df.columns, *scores)
 
 
 def slot_score_name(target: str, key: str) -> str:

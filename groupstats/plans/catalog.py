@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groupstats.functions import columns as fc
 from groupstats.operators import (
@@ -16,6 +17,7 @@ from groupstats.plans import fitted
 from groupstats.plans.views import ENTRY, GROUP, careers, entries, heavy_orders, rounded, slots, table
 from groupstats.session import shared_folder
 from groupstats.skew import split
+from groupstats.sources import files
 from groupstats.streaming.apply import apply_to_stream, read_entries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,6 +239,25 @@ def target_encode_pairs(spark, folder):
     return _round(out.select(*ID, *wanted), wanted, 4)
 
 
+@query
+def target_encode_many(spark, folder):
+    """Five group codes by eight entry codes, two targets each."""
+    more = {
+        "y": F.col("year"), "m": F.col("month"), "size": F.col("p_size"), "line": F.col("l_linenumber"),
+        "supplier": F.col("l_suppkey"), "begin": F.substring("p_name", 1, 3),
+    }
+    df = entries(spark, folder, orders=True, parts=True).select(
+        *ID, "is_place", "price_n", "o_orderpriority", "l_linestatus", "flag_n", "p_type", "l_returnflag", "brand_n", "p_name",
+        *[c.cast("string").alias(n) for n, c in more.items()],
+    )
+    out = encode.encode_pairs(
+        df, ["o_orderpriority", "l_linestatus", "flag_n", "y", "m"],
+        ["p_type", "l_returnflag", "brand_n", "p_name", "size", "line", "supplier", "begin"], ["is_place", "price_n"],
+    )
+    wanted = out.columns[len(df.columns):]
+    return _round(out.select(*ID, *wanted), wanted, 4)
+
+
 CODES = ["l_returnflag", "flag_n", "p_type", "brand_n", "p_name"]
 
 
@@ -857,6 +878,62 @@ def ablation(spark, folder):
     return models.ablation(train, test, job)
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _csv_layouts(spark, folder):
+    """The orders as CSV files of two layouts, with markers of missing values and numbers that are none."""
+    path = shared_folder(spark, "csv")
+    order = F.col("o_orderkey")
+    rows = table(spark, folder, "orders").select(
+        order.cast("string").alias("o_orderkey"),
+        F.when(order % 7 == 0, "NA").when(order % 11 == 0, " nan").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(order % 13 == 0, "12,5 EUR").when(order % 17 == 0, "NaN").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.when(order % 19 == 0, F.concat((order % 5).cast("string"), F.lit(".0"))).otherwise((order % 5).cast("string")).alias("lines"),
+    )
+    rows.filter(order % 2 == 0).write.csv(f"{path}/a", header=True)
+    other = rows.filter(order % 2 == 1).select("o_totalprice", F.lit("x").alias("more"), "lines", "o_orderstatus", "o_orderkey")
+    other.write.csv(f"{path}/b", header=True)
+    schema = T.StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double, lines int")
+    return [f"{path}/a", f"{path}/b"], schema
+
+
+@query
+def csv_scan(spark, folder):
+    path, schema = _csv_layouts(spark, folder)
+    return files.read_csv(spark, path, schema, bad="null")
+
+
+@query
+def csv_bad_values(spark, folder):
+    path, schema = _csv_layouts(spark, folder)
+    found = files.bad_values(spark, path, schema)
+    return found.select("column", "value", F.get_json_object("record", "$.o_orderkey").cast("long").alias("o_orderkey"))
+
+
+@query
+def csv_to_parquet(spark, folder):
+    """CSV to a table with a folder per status, read again without the index column of the writer."""
+    path, run = shared_folder(spark, "csv"), shared_folder(spark, "table")
+    source = table(spark, folder, "orders").select(
+        F.monotonically_increasing_id().alias("index"), "o_orderkey", "o_orderstatus", rounded("o_totalprice", 2).alias("o_totalprice")
+    )
+    source.write.csv(path, header=True)
+    schema = T.StructType.fromDDL("index long, o_orderkey long, o_orderstatus string, o_totalprice double")
+    files.convert_csv(spark, path, run, schema, ("o_orderstatus",))
+    return files.read_table(spark, run)
+
+
+@query
+def scored_table(spark, folder):
+    """Training and test rows in one table with a folder per split."""
+    rows = entries(spark, folder, orders=True).select(*ID, "year", "pred")
+    train, test = splits.split_by_year(rows, 2000, "year")
+    run = shared_folder(spark, "scored")
+    files.write_scored(train, test, run)
+    return files.read_table(spark, run)
+
+
 # --------------------------------------------------------------------- streaming
 
 

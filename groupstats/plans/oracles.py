@@ -279,16 +279,28 @@ ORACLES["target_encode"] = (
 )
 
 
-def _pairs() -> str:
+def _pairs(groups: dict[str, str], codes: dict[str, str]) -> str:
+    """Names of codes and their values."""
     out = []
-    for g, gn in [("o_orderpriority", "o_orderpriority"), ("l_linestatus", "l_linestatus")]:
-        for c, cn in [("p_type", "p_type"), ("flag_n", "flag_n")]:
+    for gn, g in groups.items():
+        for cn, c in codes.items():
             for t in ("is_place", "price_n"):
                 out.append(r(_encoded(f"{c}, {g}", t, 500, 30), f"{gn}_{cn}_te_{t}", 4))
     return ", ".join(out)
 
 
-ORACLES["target_encode_pairs"] = e(_pairs())
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+ORACLES["target_encode_pairs"] = e(_pairs(_same("o_orderpriority", "l_linestatus"), _same("p_type", "flag_n")))
+ORACLES["target_encode_many"] = e(
+    _pairs(
+        _same("o_orderpriority", "l_linestatus", "flag_n") | {"y": '"year"', "m": '"month"'},
+        _same("p_type", "l_returnflag", "brand_n", "p_name")
+        | {"size": "p_size", "line": "l_linenumber", "supplier": "l_suppkey", "begin": "substr(p_name, 1, 3)"},
+    )
+)
 
 _CODES = ["l_returnflag", "flag_n", "p_type", "brand_n", "p_name"]
 _CELLS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS \"value\" FROM e" for c in _CODES)
@@ -716,6 +728,19 @@ ORACLES["loo_reward"] = (
     f"{r('b1 - (s1 + b1) / 2', 'reward_buy')} FROM w"
 )
 
+# -------------------------------------------------------------- sources and sinks
+
+ORACLES["csv_scan"] = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 THEN o_orderstatus END AS o_orderstatus, "
+    "CASE WHEN o_orderkey % 13 > 0 AND o_orderkey % 17 > 0 THEN o_totalprice END AS o_totalprice, "
+    "(o_orderkey % 5)::INT AS lines FROM orders"
+)
+ORACLES["csv_bad_values"] = (
+    "SELECT 'o_totalprice' AS \"column\", '12,5 EUR' AS value, o_orderkey FROM orders WHERE o_orderkey % 13 = 0"
+)
+ORACLES["csv_to_parquet"] = f"SELECT o_orderkey, o_orderstatus, {r('o_totalprice', 'o_totalprice', 2)} FROM orders"
+ORACLES["scored_table"] = e("\"year\", pred, CASE WHEN \"year\" < 2000 THEN 'train' ELSE 'test' END AS split")
+
 # ------------------------------------------------------------------------ models
 
 ORACLES["gbt_search"] = "SELECT i::INT AS trial, true AS in_order, true AS measured FROM range(6) t(i)"

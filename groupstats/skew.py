@@ -258,6 +258,47 @@ def attach(
     )
 
 
+def attach_many(
+    df: DataFrame, fitted: Fitted, which: str, key: str, keys: dict[str, Column], how: str = "left"
+) -> DataFrame:
+    """Look up several keys of each row in one table that holds a table for each, named in its column ``which``.
+
+    ``keys`` maps a table's name to the value to find in its column ``key``; the rest of the found row is appended as the
+    struct ``_got_<name>``, NULL if there is none (``how="inner"`` drops rows that miss one).
+
+    The smallest tables are broadcast, as many as fit ``spark.groupstats.smallRows`` together. All others take one
+    shuffle, however many they are: the keys of a row become rows of (table, key), meet their table's rows, heavy keys by
+    broadcast, and come back by row.
+    """
+    spark = df.sparkSession
+    values = [c for c in fitted.rows.columns if c not in (which, key)]
+    broadcast, spread = list(keys), []
+    if not fitted.small:
+        sizes = {r[which]: r["count"] for r in fitted.rows.groupBy(which).count().collect()}  # one row a table
+        room, broadcast = setting(spark, SMALL_ROWS), []
+        for name in sorted(keys, key=lambda n: (sizes.get(n, 0), n)):
+            room -= sizes.get(name, 0)
+            (broadcast if room >= 0 else spread).append(name)
+    names = df.columns
+    for name in broadcast:
+        found = F.struct(*values).alias(f"_got_{name}")
+        one = fitted.rows.filter(F.col(which) == name).select(F.col(key).alias("_looked_up"), found)
+        df = df.withColumn("_looked_up", keys[name]).join(F.broadcast(one), "_looked_up", "left").drop("_looked_up")
+    if spread:
+        df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+        asked = [F.struct(F.lit(name).alias(which), keys[name].cast(fitted.rows.schema[key].dataType).alias(key)) for name in spread]
+        rows = df.select("_row", F.inline(F.array(*asked)))
+        rest = Fitted(fitted.rows.filter(F.col(which).isin(spread)), False)
+        met = attach(rows, rest, [which, key], "inner")
+        got = met.groupBy("_row").agg(
+            *[F.first(F.when(F.col(which) == name, F.struct(*values)), True).alias(f"_got_{name}") for name in spread]
+        )
+        df = df.join(got, "_row", "left").drop("_row")
+    if how == "inner":
+        df = df.filter(reduce(lambda a, b: a & b, [F.col(f"`_got_{name}`").isNotNull() for name in keys], F.lit(True)))
+    return df.select(*names, *[f"`_got_{name}`" for name in keys])
+
+
 # -------------------------------------------------------------------- ranking
 
 

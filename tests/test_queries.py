@@ -15,6 +15,7 @@ ROWS_ONLY = {
 SKEWED = [
     "group_zscore", "margin_targets", "fill_group", "code_share", "target_encode", "fold_rare_others", "label_encode",
     "popularity_order", "pred_rank", "top1_pick", "leave_one_out", "group_rows", "first_corner", "keep_groups",
+    "target_encode_many", "slot_zscore", "fold_rare_few", "group_chain", "pairwise_xent_wide", "draw_groups", "stream_apply",
 ]
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groupstats.operators import evaluate, groups, ranks, reshape
-from groupstats.skew import SplitFrame, find_heavy, number_sorted, running_total, split
+from groupstats.skew import Fitted, SplitFrame, attach_many, find_heavy, number_sorted, running_total, split
 
 
 @pytest.fixture
@@ -124,3 +124,33 @@ def test_draws_follow_the_ranks_of_digests(spark, limits):
         drawn = reshape.draw_groups(df, "g", draws=200, per_draw=2, seed=3)
         assert sorted((r["draw"], r["part"], r["id"]) for r in drawn.collect()) == want
     assert reshape.draw_groups(df.limit(0), "g", 5).count() == 0
+
+
+def test_lookups_of_many_tables(spark, limits):
+    """Some tables are broadcast and the others met by one join, however many they are."""
+    draw = [(k, k % 3, k % 50, None if k % 7 == 0 else k % 11) for k in range(200)]
+    df = spark.createDataFrame(draw, "id long, a int, b int, c int").repartition(4)
+    table = spark.createDataFrame(
+        [(n, str(v), float(v * 10)) for n, size in (("a", 2), ("b", 50), ("c", 11)) for v in range(size)], "t string, k string, x double"
+    )
+    keys = {n: F.col(n).cast("string") for n in "abc"}
+    found = {}
+    for small, heavy, whole in ((100_000, 1000, True), (15, 1000, False), (0, 20, False)):
+        limits(smallRows=small, heavyRows=heavy)
+        out = attach_many(df, Fitted(table, whole), "t", "k", keys)
+        found[small] = sorted((r["id"], *[r[f"_got_{n}"] and r[f"_got_{n}"]["x"] for n in "abc"]) for r in out.collect())
+        assert out.columns == [*df.columns, "_got_a", "_got_b", "_got_c"]
+        assert attach_many(df, Fitted(table, whole), "t", "k", keys, "inner").count() == sum(a < 2 and c is not None for _, a, _, c in draw)
+    value = lambda v, size: v * 10.0 if v is not None and v < size else None
+    assert found[100_000] == found[15] == found[0] == [(i, value(a, 2), value(b, 50), value(c, 11)) for i, a, b, c in draw]
+
+
+def test_joins_of_lookups_do_not_grow_with_their_number(spark, limits):
+    limits(smallRows=0)
+    table = spark.createDataFrame([(f"t{n}", str(v), 1.0) for n in range(30) for v in range(9)], "t string, k string, x double")
+    df = spark.range(50).select("id", (F.col("id") % 9).cast("string").alias("k"))
+    joins = []
+    for n in (3, 30):
+        out = attach_many(df, Fitted(table, False), "t", "k", {f"t{i}": F.col("k") for i in range(n)})
+        joins.append(out._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+    assert joins[0] == joins[1]
