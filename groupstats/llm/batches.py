@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -27,10 +28,17 @@ def resident(key: tuple, make: Callable[[], object]) -> object:
 
 def release() -> None:
     """Let go of what the worker keeps for an earlier operator."""
-    if _resident:
-        _resident.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    _resident.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which an earlier stage in this worker may have left fragmented."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def whole_text(name: str = "text"):
@@ -94,8 +102,7 @@ def map_batches(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not tables:
-            release()
+        give_back() if tables else release()
         for batch in batches:
             for part in slices(batch, column, limit):
                 made = work(part)

@@ -35,7 +35,7 @@ from groupstats.session import shared_folder
 CLASSES = 256
 RANK_BUCKETS = 64
 #: Text bytes that one step of a task tokenises.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _PIECE = StructType(
     [
