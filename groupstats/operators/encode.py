@@ -119,18 +119,25 @@ def label_encode(
 def one_hot(df: DataFrame, columns: Sequence[str], max_columns: int = 1000) -> DataFrame:
     """Replace each code column by one 0/1 column per value, named ``<column>_<value>``.
 
-    This widens the schema, so the number of values is checked first; use
-    :func:`one_hot_vector` for codes with many values.
+    This widens the schema, so the numbers of values are counted first: code columns with few values come first, and those that would
+    bring more than ``max_columns`` columns in all become sparse vectors instead, see :func:`one_hot_vector`.
     """
     columns = [c for c in df.columns if c in set(columns)]
-    found = value_counts(df, columns).select("column", "value").limit(max_columns + 1).collect()
-    if len(found) > max_columns:
-        raise ValueError("too many values for one column each; use one_hot_vector")
+    counts = value_counts(df, columns).select("column", "value")
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+    room, narrow = max_columns, []
+    for c in sorted(columns, key=lambda c: (sizes.get(c, 0), c)):
+        room -= sizes.get(c, 0)
+        if room >= 0:
+            narrow.append(c)
+    found = counts.filter(F.col("column").isin(narrow)).collect() if narrow else []  # at most max_columns
     flags = [
         fc.value_flag(F.col(c).cast("string"), v, "tinyint").alias(f"{c}_{v}")
         for c, v in sorted((r["column"], r["value"]) for r in found)
     ]
-    return df.select(*[c for c in df.columns if c not in set(columns)], *flags)
+    flat = df.select(*[c for c in df.columns if c not in set(narrow)], *flags)
+    wide = [c for c in columns if c not in set(narrow)]
+    return one_hot_vector(flat, wide) if wide else flat
 
 
 def one_hot_vector(df: DataFrame, columns: Sequence[str]) -> DataFrame:

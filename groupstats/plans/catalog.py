@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupstats.functions import columns as fc
 from groupstats.operators import (
-    encode, evaluate, features, filters, groups, keyed, models, nulls, ranks, reshape, scaling,
+    columns, encode, evaluate, features, filters, groups, keyed, models, nulls, ranks, reshape, scaling,
     splits, targets,
 )
 from groupstats.plans import fitted
 from groupstats.plans.views import ENTRY, GROUP, careers, entries, heavy_orders, rounded, slots, table
 from groupstats.session import shared_folder
 from groupstats.skew import split
-from groupstats.sources import files
+from groupstats.sources import files, schema
 from groupstats.streaming.apply import apply_to_stream, read_entries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -878,9 +879,106 @@ def ablation(spark, folder):
     return models.ablation(train, test, job)
 
 
+# ------------------------------------------------------------- columns and model input
+
+
+@query
+def feature_columns(spark, folder):
+    """Columns that no process feature guards, with the label; the process features go by name elsewhere."""
+    df = entries(spark, folder).select(*ID, "is_win", "is_place", "score", "l_tax", F.col("odds").alias("li_WinOdds"))
+    features = columns.features_and_label(df, "is_win")
+    return features.select(*columns.present_columns(features, ["label", "score", "l_tax", GROUP, ENTRY, "absent"]))
+
+
+@query
+def chosen_columns(spark, folder):
+    df = entries(spark, folder).select(*ID, "is_win", "score", "l_tax", "l_discount", "l_quantity", F.lit(1).alias("has_pre1"))
+    df = columns.drop_or_keep(df, remove=["l_tax"])
+    df = columns.choose_columns(df, remove=["l_discount"])
+    df = columns.choose_columns(df, keep=["l_quantity", *ID], process_features=["is_win", "score"])
+    df = columns.drop_process_features(columns.drop_listed(df, ["absent"]))
+    return columns.numbers_codes_others(columns.sort_columns(df), [ENTRY], ["l_quantity"])
+
+
+@query
+def cast_codes(spark, folder):
+    df = entries(spark, folder).select(
+        *ID, F.col("l_linenumber").cast("long").alias("line"), F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.col("l_tax")).alias("tax"), "l_quantity",
+    )
+    codes, numbers = columns.codes_and_numbers(df, ["line", GROUP])
+    df = columns.shrink_codes(columns.nan_to_null(df), [c for c in codes if c != ENTRY])
+    return columns.to_float(df, [n for n in numbers if n != "tax"])
+
+
+@query
+def model_input(spark, folder):
+    df = entries(spark, folder).select(*ID, "l_quantity", "l_tax", "flag_n", "l_linestatus")
+    out = encode.model_input(df, ["l_tax", "l_quantity"], ["l_linestatus", "flag_n"], ID)
+    return out.withColumn("main", _as_text(F.col("main")))
+
+
+@query
+def one_hot_wide(spark, folder):
+    """Codes of few values as columns and of many as vectors: the place of the value, in text order, and the sum."""
+    df = entries(spark, folder, parts=True).select(*ID, "flag_n", "p_name")
+    out = encode.one_hot(df, ["flag_n", "p_name"], max_columns=10)
+    values = vector_to_array("p_name_vector")
+    return out.select(
+        *ID, "flag_n_A", "flag_n_N", (F.array_position(values, 1.0) - 1).cast("int").alias("place"),
+        F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("total"),
+    )
+
+
+@query
+def shuffled_sample(spark, folder):
+    """The first 1,000 entries of a repeatable random order."""
+    return ranks.shuffled(entries(spark, folder).select(*ID, "l_quantity"), ENTRY, 3).limit(1000)
+
+
+@query
+def importance_order(spark, folder):
+    """Statuses by how often they occur, from small to large."""
+    table_ = entries(spark, folder).groupBy(F.concat("l_returnflag", "l_linestatus").alias("feature")).agg(
+        F.count(F.lit(1)).cast("double").alias("importance")
+    )
+    order = Window.orderBy(F.monotonically_increasing_id())  # a few rows
+    return ranks.by_importance(table_).withColumn("place", F.row_number().over(order))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
+@query
+def declared_scan(spark, folder):
+    """A CSV scan by a declared-schema file, which keeps result columns out, an exclude list and an include list."""
+    path = shared_folder(spark, "declared")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", rounded("o_totalprice", 2).alias("o_totalprice"), F.col("o_custkey").alias("hr_Secret")
+    )
+    orders.write.csv(f"{path}/rows", header=True)
+    kinds = {"bigint": "int64", "double": "float64", "string": "object"}
+    for name, lines in {
+        "types": [f"{n},{kinds[k]}" for n, k in orders.dtypes], "remove": ["# not used", "", "o_orderstatus"], "keep": ["o_totalprice", "o_orderkey"],
+    }.items():
+        spark.createDataFrame([(line,) for line in lines], "line string").coalesce(1).write.text(f"{path}/{name}")
+    declared = schema.load_schema(spark, f"{path}/types")
+    df = columns.drop_or_keep(files.read_csv(spark, f"{path}/rows", declared), remove=schema.load_removes(spark, f"{path}/remove"))
+    return columns.drop_or_keep(df, keep=schema.load_keeps(spark, f"{path}/keep"))
+
+
+@query
+def held_out_sample(spark, folder):
+    """Held-out rows written as CSV and read again, whole and limited."""
+    path = shared_folder(spark, "sample")
+    rows = entries(spark, folder).select(*ID, "l_quantity")
+    _, test = splits.random_split(rows, ENTRY, 0.1, 32)
+    files.write_sample(test, path)
+    kind = T.StructType.fromDDL("l_orderkey long, entry_id string, l_quantity double")
+    whole = files.read_csv(spark, path, kind).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+    part = files.read_csv(spark, path, kind, rows=100).agg(F.count(F.lit(1)).alias("limited"))
+    return whole.withColumn("limited", F.lit(part.first()[0]).cast("long"))
+
+
 def _csv_layouts(spark, folder):
     """The orders as CSV files of two layouts, with markers of missing values and numbers that are none."""
     path = shared_folder(spark, "csv")
@@ -894,20 +992,20 @@ def _csv_layouts(spark, folder):
     rows.filter(order % 2 == 0).write.csv(f"{path}/a", header=True)
     other = rows.filter(order % 2 == 1).select("o_totalprice", F.lit("x").alias("more"), "lines", "o_orderstatus", "o_orderkey")
     other.write.csv(f"{path}/b", header=True)
-    schema = T.StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double, lines int")
-    return [f"{path}/a", f"{path}/b"], schema
+    kind = T.StructType.fromDDL("o_orderkey long, o_orderstatus string, o_totalprice double, lines int")
+    return [f"{path}/a", f"{path}/b"], kind
 
 
 @query
 def csv_scan(spark, folder):
-    path, schema = _csv_layouts(spark, folder)
-    return files.read_csv(spark, path, schema, bad="null")
+    path, kind = _csv_layouts(spark, folder)
+    return files.read_csv(spark, path, kind, bad="null")
 
 
 @query
 def csv_bad_values(spark, folder):
-    path, schema = _csv_layouts(spark, folder)
-    found = files.bad_values(spark, path, schema)
+    path, kind = _csv_layouts(spark, folder)
+    found = files.bad_values(spark, path, kind)
     return found.select("column", "value", F.get_json_object("record", "$.o_orderkey").cast("long").alias("o_orderkey"))
 
 
@@ -919,8 +1017,8 @@ def csv_to_parquet(spark, folder):
         F.monotonically_increasing_id().alias("index"), "o_orderkey", "o_orderstatus", rounded("o_totalprice", 2).alias("o_totalprice")
     )
     source.write.csv(path, header=True)
-    schema = T.StructType.fromDDL("index long, o_orderkey long, o_orderstatus string, o_totalprice double")
-    files.convert_csv(spark, path, run, schema, ("o_orderstatus",))
+    kind = T.StructType.fromDDL("index long, o_orderkey long, o_orderstatus string, o_totalprice double")
+    files.convert_csv(spark, path, run, kind, ("o_orderstatus",))
     return files.read_table(spark, run)
 
 

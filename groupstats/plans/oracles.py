@@ -728,8 +728,34 @@ ORACLES["loo_reward"] = (
     f"{r('b1 - (s1 + b1) / 2', 'reward_buy')} FROM w"
 )
 
+# ---------------------------------------------------------- columns and model input
+
+ORACLES["feature_columns"] = e("score, l_tax, is_win AS label")
+ORACLES["chosen_columns"] = e("l_quantity, score")
+ORACLES["cast_codes"] = (
+    f"{ENTRIES} SELECT l_orderkey::INT AS l_orderkey, entry_id, l_linenumber::INT AS line, nullif(l_tax, 0) AS tax, "
+    "l_quantity::FLOAT AS l_quantity FROM e"
+)
+ORACLES["model_input"] = e(f"{_millionths('l_quantity')} || ',' || {_millionths('l_tax')} AS main, flag_n, l_linestatus")
+ORACLES["one_hot_wide"] = (
+    f"{ENTRIES}, n AS (SELECT p_name, (row_number() OVER (ORDER BY p_name) - 1)::INT AS place FROM (SELECT DISTINCT p_name FROM e)) "
+    "SELECT l_orderkey, entry_id, coalesce(flag_n = 'A', false)::TINYINT AS flag_n_A, "
+    "coalesce(flag_n = 'N', false)::TINYINT AS flag_n_N, place, 1.0::DOUBLE AS total FROM e JOIN n USING (p_name)"
+)
+ORACLES["shuffled_sample"] = e("l_quantity", "ORDER BY md5('3:' || entry_id) LIMIT 1000")
+ORACLES["importance_order"] = (
+    f"{ENTRIES}, c AS (SELECT l_returnflag || l_linestatus AS feature, count(*)::DOUBLE AS importance FROM e GROUP BY 1) "
+    "SELECT feature, importance, row_number() OVER (ORDER BY importance, feature)::INT AS place FROM c"
+)
+
 # -------------------------------------------------------------- sources and sinks
 
+ORACLES["declared_scan"] = f"SELECT o_orderkey, {r('o_totalprice', 'o_totalprice', 2)} FROM orders"
+ORACLES["held_out_sample"] = (
+    f"{ENTRIES} SELECT count(*) AS rows, sum(l_quantity) AS quantity, least(count(*), 100) AS limited FROM e "
+    "WHERE ('0x' || substr(md5('32:' || entry_id), 1, 12))::BIGINT / 281474976710656.0 < 0.1"
+)
+
 ORACLES["csv_scan"] = (
     "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 THEN o_orderstatus END AS o_orderstatus, "
     "CASE WHEN o_orderkey % 13 > 0 AND o_orderkey % 17 > 0 THEN o_totalprice END AS o_totalprice, "

@@ -144,8 +144,9 @@ def test_one_hot_forms_agree(spark):
     assert values(encode.one_hot(df, ["c"]), "id", "c_a", "c_b") == [(1, 0), (0, 1), (1, 0)]
     vectors = [r["c_vector"].toArray()[:2].tolist() for r in encode.one_hot_vector(df, ["c"]).orderBy("id").collect()]
     assert vectors == [[1, 0], [0, 1], [1, 0]]
-    with pytest.raises(ValueError):
-        encode.one_hot(df, ["c"], max_columns=1)
+    wide = encode.one_hot(df.withColumn("d", F.lit("x")), ["c", "d"], max_columns=2)  # the smaller code comes first
+    assert wide.columns == ["id", "d_x", "c_vector"]
+    assert [r["c_vector"].toArray()[:2].tolist() for r in wide.orderBy("id").collect()] == vectors
 
 
 def test_fills_leave_nothing_missing(spark):
