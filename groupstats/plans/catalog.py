@@ -603,9 +603,15 @@ def _blocks(spark, folder):
     )
 
 
+def _in_cents(spark, folder):
+    """Entries with prices in whole cents, whose sums do not depend on the order of the terms."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("double").alias("l_extendedprice")
+    return entries(spark, folder).select("l_suppkey", ENTRY, cents, "score", "l_linenumber", "is_win")
+
+
 def _wide_blocks(spark, folder):
     """Groups of hundreds of entries."""
-    df = entries(spark, folder).select("l_suppkey", ENTRY, "l_extendedprice", "score", "l_linenumber", "is_win")
+    df = _in_cents(spark, folder)
     return reshape.group_blocks(
         df, "l_suppkey", ENTRY, ["l_extendedprice", "score"], ["l_linenumber"], {"is_win": 0}, seed=5
     )
@@ -624,7 +630,7 @@ def pad_groups(spark, folder):
 
 @query
 def pad_shuffled_groups(spark, folder):
-    df = entries(spark, folder).select("l_suppkey", ENTRY, "l_extendedprice", "score", "l_linenumber", "is_win")
+    df = _in_cents(spark, folder)
     out = reshape.pad_groups(
         df, "l_suppkey", ENTRY, ["l_extendedprice", "score"], ["l_linenumber"], {"is_win": 0}, seed=5
     )
@@ -633,7 +639,7 @@ def pad_shuffled_groups(spark, folder):
 
 @query
 def pad_wide_groups(spark, folder):
-    df = entries(spark, folder).select("l_suppkey", ENTRY, "l_extendedprice", "score", "l_linenumber", "is_win")
+    df = _in_cents(spark, folder)
     out = reshape.pad_wide_groups(
         df, "l_suppkey", ENTRY, ["l_extendedprice", "score"], ["l_linenumber"], {"is_win": 0}, seed=5
     )

@@ -531,9 +531,10 @@ _PADDED = _padded(
         "is_place": ("is_place", "0"),
     }
 )
+_CENTS = "floor(l_extendedprice * 100 + 0.5)"
 _PADDED_WIDE = _padded(
     {
-        "l_extendedprice": ("l_extendedprice", "avg(l_extendedprice)"),
+        "l_extendedprice": (_CENTS, f"avg({_CENTS})"),
         "score": ("score", "avg(score)"),
         "l_linenumber": ("l_linenumber", "0"),
         "is_win": ("is_win", "0"),
@@ -553,10 +554,10 @@ ORACLES["pad_shuffled_groups"] = (
 ORACLES["pad_wide_groups"] = (
     f"{ENTRIES}, n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('5:' || entry_id)) - 1 AS k "
     "FROM e WHERE l_suppkey IS NOT NULL), "
-    "g AS (SELECT l_suppkey, count(*) AS n, avg(l_extendedprice) AS price, avg(score) AS score FROM e "
+    f"g AS (SELECT l_suppkey, count(*) AS n, avg({_CENTS}) AS price, avg(score) AS score FROM e "
     "WHERE l_suppkey IS NOT NULL GROUP BY l_suppkey), "
     "b AS (SELECT *, unnest(range(n % 18, 18)) AS i FROM g WHERE n % 18 > 0) "
-    f"SELECT l_suppkey, (k // 18)::INT AS block, (k % 18 + 1)::INT AS pos, {r('l_extendedprice', 'l_extendedprice')}, "
+    f"SELECT l_suppkey, (k // 18)::INT AS block, (k % 18 + 1)::INT AS pos, {r(_CENTS, 'l_extendedprice')}, "
     f"{r('score', 'score')}, l_linenumber, is_win, 0 AS is_padded FROM n UNION ALL "
     f"SELECT l_suppkey, (n // 18)::INT, (i + 1)::INT, {r('price')}, {r('score')}, 0, 0, 1 FROM b"
 )
