@@ -10,8 +10,10 @@ A fingerprint is one hash per bin, NULL where a bin is empty. The likeness of tw
 that agree among those that either fills; two texts without tokens are alike (1), one with and one without are not (0).
 
 Occurrence numbers come from the sorted array of a text's k-mer hashes: equal ones lie together, and the
-number is the place in that run, found by doubling steps. All work stays inside the row of a text, so texts
-need no shuffle.
+number is the place in that run, found by doubling steps. All of a fingerprint's work stays inside the row of its text.
+
+In scripts without spaces a text's runs are cut every ``TOKEN`` characters, so an inserted character shifts the tokens
+behind it up to the next white space.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupstats.session import shared_folder
-
 TOKEN = 12
 K = 2
 BIN_BITS = 5
@@ -28,7 +28,7 @@ BINS = 1 << BIN_BITS
 #: Bits for a token's place in its text.
 PLACE_BITS = 26
 TUPLE = 2
-#: Documents are numbered inside ranges of ids; this many ranges at most come back to the driver, one row each.
+#: Documents are put in order inside ranges of ids; this many ranges at most come back to the driver, one row each.
 RANGES = 512
 
 
@@ -125,71 +125,67 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit(""))), ".")
 
 
-def next_ids(docs: DataFrame, id_column: str = "doc_id", ranges: int = RANGES) -> DataFrame:
-    """``(id, next)``: the next smaller distinct id of every id, the largest for the smallest; NULL ids have none.
-
-    Ids are cut into ranges at quantiles. A window numbers inside a range; what crosses ranges is the largest id
-    of each, at most ``ranges`` numbers.
-    """
-    spark = docs.sparkSession
+def range_cuts(docs: DataFrame, id_column: str = "doc_id", ranges: int = RANGES) -> list[int]:
+    """Up to ``ranges - 1`` ids that cut the ids into ranges of about equal numbers of rows."""
     ids = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("_id"))
-    cuts = ids.approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.002)
-    cuts = sorted({int(c) for c in cuts})
-    bound = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    placed = ids.withColumn("_range", F.size(F.filter(bound, lambda c: c < F.col("_id")))) if cuts else ids.withColumn("_range", F.lit(0))
-    placed = placed.distinct()
-    tops = [(r["_range"], r["top"]) for r in placed.groupBy("_range").agg(F.max("_id").alias("top")).collect()]
-    tops.sort()
-    below = {r: tops[k - 1][1] for k, (r, _) in enumerate(tops)}  # the first range follows on the last
-    table = spark.createDataFrame(list(below.items()), "_range int, _below long")
-    inside = Window.partitionBy("_range").orderBy("_id")
-    return placed.join(F.broadcast(table), "_range").select(
-        F.col("_id"), F.coalesce(F.lag("_id").over(inside), F.col("_below")).alias("_next")
-    )
+    return sorted({int(c) for c in ids.approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.5 / ranges)})
+
 
+def range_of(id_: Column, cuts: list[int]) -> Column:
+    """The number of cuts below an id, by halving steps."""
+    if not cuts:
+        return F.lit(0)
+    bound = F.array(*[F.lit(c).cast("long") for c in cuts])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bound, at + step - 1) < id_, at + step).otherwise(at))
 
-def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+
+def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "text", ranges: int = RANGES) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike it is to that and to the next document.
 
     The edited text has its last third (rounded down, in code points) replaced by as many (or all) first code points of
     the next document, that of the next smaller id (the largest for the smallest). If that id is repeated, the row with
     the least hash of its text is the next document. NULL texts are empty; rows with a NULL id come last and are
-    followed by no document (an empty text).
+    followed by no document (an empty text). Repeated rows stay, other columns are not looked at, and an empty table
+    gives no rows.
+
+    Texts are shuffled once, by ranges of ids, with their fingerprints. Inside a range the next document is the last one
+    before a row in the order of ids. What crosses ranges is the last document of each, at most ``ranges`` texts.
     """
     spark = docs.sparkSession
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_column).cast("long").alias("id"), whole.alias("text"))
-    order = next_ids(docs, id_column)
-    lengths = base.filter("id IS NOT NULL").groupBy("id").agg(F.max(F.length("text")).alias("n"))
-    wanted = order.join(lengths, order["_id"] == lengths["id"]).select("_id", "_next", (F.floor(F.col("n") / 3)).cast("int").alias("most"))
-    # only the beginnings that can be used leave the join
-    nexts = base.withColumnsRenamed({"id": "next_id", "text": "next_text"})
-    begun = wanted.join(nexts, wanted["_next"] == nexts["next_id"]).select(
-        "_id", "_next", F.struct(F.xxhash64("next_text").alias("h"), F.substring(F.col("next_text"), F.lit(1), F.col("most")).alias("t")).alias("s")
-    ).groupBy("_next", "_id").agg(F.min("s")["t"].alias("begin"))
-    joined = base.join(begun, base["id"] == begun["_id"], "left")
+    cuts = range_cuts(docs, id_column, ranges)
+    base = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("_hash", F.xxhash64("text"))
+    known = base.filter("id IS NOT NULL").withColumn("_range", range_of(F.col("id"), cuts))
+    # a text's range; rows without id are spread over ranges of their own
+    place = F.when(F.col("id").isNull(), -1 - F.pmod("_hash", F.lit(ranges)).cast("int")).otherwise(range_of(F.col("id"), cuts))
+    placed = base.select("*", place.alias("_range"), order_minhash(F.col("text")).alias("a"))
+    order = Window.partitionBy("_range").orderBy("id", F.desc("_hash"))
+    # of the rows of an id the last one in this order stands for it
+    marked = placed.withColumn("_stands", F.col("id").isNotNull() & ~F.lead("id").over(order).eqNullSafe(F.col("id")))
+    document = F.struct("text", "a")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    met = marked.withColumn("_next", F.last(F.when(F.col("_stands"), document), ignorenulls=True).over(before))
+
+    tops = sorted((r["_range"], r["top"]) for r in known.groupBy("_range").agg(F.max("id").alias("top")).collect())
+    follows = [(r, tops[k - 1][0]) for k, (r, _) in enumerate(tops)]  # the first range follows on the last
+    follows = spark.createDataFrame(follows, "_range int, _source int")
+    last = known.groupBy("_range").agg(F.max_by("text", F.struct("id", F.bitwise_not("_hash"))).alias("_last"))
+    crossing = follows.join(last.withColumnRenamed("_range", "_source"), "_source").select(
+        "_range", F.struct(F.col("_last").alias("text"), order_minhash(F.col("_last")).alias("a")).alias("_crossing")
+    )
+    met = met.join(crossing, "_range", "left").withColumn("_next", F.coalesce("_next", "_crossing"))
+
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("begin", F.lit("")), F.lit(1), third)
-    )
-    made = joined.select("id", "_next", F.col("text"), edited.alias("edited"), n.cast("long").alias("n_chars"))
-    marked = made.select(
-        "id", "_next", "n_chars",
-        F.xxhash64("text").alias("text_hash"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        order_minhash(F.col("text")).alias("a"),
-        order_minhash(F.col("edited")).alias("b"),
-    )
-    path = shared_folder(spark, "order-minhash")
-    marked.write.parquet(path)
-    marked = spark.read.parquet(path)
-    others = marked.filter("id IS NOT NULL").groupBy("id").agg(F.min_by("a", "text_hash").alias("c")).withColumnRenamed("id", "other")
-    out = marked.join(others, marked["_next"] == others["other"], "left")
+    begin = F.coalesce(F.col("_next.text"), F.lit(""))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(begin, F.lit(1), third))
     empty = F.array_repeat(F.lit(None).cast("long"), BINS)
+    made = met.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "a", F.coalesce("_next.a", empty).alias("c"))
+    out = made.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), order_minhash(F.col("edited")).alias("b"), "a", "c")
     return out.select(
         F.col("id").alias(id_column), "n_chars", "edited_sha256",
         as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.coalesce("c", empty)).alias("near_next"),
+        likeness(F.col("a"), F.col("c")).alias("near_next"),
     )

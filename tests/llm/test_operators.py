@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from groupstats.llm import packing, simhash, toxicity
+from groupstats.llm import packing, simhash, topk, toxicity
 from groupstats.llm.components import components
 from groupstats.llm.dom import describe, parse, plain
 from groupstats.llm.hashing import xxh64
-from groupstats.llm.order_minhash import compare_with_edits, next_ids
+from groupstats.llm.order_minhash import compare_with_edits
 from groupstats.llm.piece_model import Normalizer, _fields, read_char_map
 from groupstats.llm.pseudo_likelihood import score_documents
 from groupstats.llm.repeats import remove_repeats
@@ -244,10 +244,68 @@ def test_order_minhash(spark, no_docs):
     assert compare_with_edits(no_docs).count() == 0
 
 
-def test_next_ids_across_ranges(spark):
-    ids = [5, 9, 9, 12, 40, 41, 100]
-    rows = next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long"), ranges=4).collect()
-    assert {r["_id"]: r["_next"] for r in rows} == {5: 100, 9: 5, 12: 9, 40: 12, 41: 40, 100: 41}
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(*values):
+    """xxhash64 of texts, ("int", n), and longs in turn; None leaves the hash as it is."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64(data, h).intdigest()
+    return signed(h)
+
+
+def brute_fingerprint(text, k=2, least=2):
+    low = (1 << 26) - 1
+    hashes = [spark_hash(t) for t in re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text or "")]
+    kmers = [(spark_hash(*[hashes[i + j] if i + j < len(hashes) else None for j in range(k)]) >> 26, i) for i in range(max(1, len(hashes) - k + 1) if hashes else 0)]
+    seen, numbered = defaultdict(int), []
+    for own, place in sorted(kmers):
+        numbered.append((spark_hash(own, ("int", seen[own])) & ~low) | place)
+        seen[own] += 1
+    bins = defaultdict(list)
+    for x in sorted(numbered):
+        bins[x >> 59 & 31].append(x)
+    out = []
+    for b in range(32):
+        chosen = sorted(bins[b][:least], key=lambda x: x & low)
+        out.append(spark_hash(*[x >> 26 for x in chosen]) if chosen else None)
+    return out
+
+
+def brute_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+@pytest.mark.parametrize("ranges", [2, 5, 512])
+def test_order_minhash_is_that_of_brute_force(spark, ranges):
+    """Repeated ids, equal texts, NULLs and very long texts, over several ranges of ids."""
+    draw = random.Random(22)
+    words = ["".join(draw.choice("abcdefgé") for _ in range(draw.randint(1, 30))) for _ in range(40)]
+    rows = [(draw.randint(-20, 60), " ".join(draw.choice(words) for _ in range(draw.choice([0, 1, 2, 30, 400])))) for _ in range(70)]
+    rows += [(7, "same text"), (7, "same text"), (7, None), (None, "no id here"), (None, None), (1 << 40, "日本語" * 40), (5, "ab " * 30_000)]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, a string, _range double").repartition(6)
+    stands = {}
+    for i, t in rows:
+        if i is not None:
+            stands[i] = min(stands.get(i, (2**63, "")), (spark_hash(t or ""), t or ""))
+    order = sorted(stands)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        # the largest follows on the smallest
+        following = stands[order[order.index(i) - 1]][1] if i is not None else ""
+        third = len(t) // 3
+        edited = t[: len(t) - third] + following[:third]
+        a, b, c = brute_fingerprint(t), brute_fingerprint(edited), brute_fingerprint(following) if i is not None else [None] * 32
+        text = lambda f: ".".join("" if x is None else f"{x & (1 << 64) - 1:x}" for x in f)
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), brute_likeness(a, b), brute_likeness(a, c)))
+    got = [(str(r["doc_id"]), *list(r)[1:]) for r in compare_with_edits(df, ranges=ranges).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_top_k_is_exact(spark):
@@ -269,6 +327,23 @@ def test_top_k_is_exact(spark):
     assert top_k(df.limit(0), F.lit(True), "vec_id", "embedding").count() == 0
 
 
+def test_top_k_of_repeated_ids_ties_and_two_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    draw = np.random.default_rng(7)
+    rows = [(k % 120, [float(x) for x in draw.integers(-2, 3, 4 if k % 3 else 6)]) for k in range(200)]
+    rows += [(500 + k, [1.0, 0.0, 0.0, 0.0]) for k in range(60)] + [(1, []), (50, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").repartition(4)
+    made = defaultdict(list)
+    for r in top_k(df, F.col("vec_id") % 10 == 0, "vec_id", "embedding", k=5).collect():
+        made[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for query in {i for i, _ in whole if i % 10 == 0}:
+        asked = min(v for i, v in whole if i == query)
+        scores = [(-sum(a * b for a, b in zip(asked, v)), i) for i, v in whole if i != query and len(v) == len(asked)]
+        assert sorted(made[query]) == [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])], query
+
+
 def page(k, body):
     return (
         f"<html><head><title>t{k}</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li>Home<li>News</ul></nav>"
