@@ -4,8 +4,8 @@
 ``spark.groupstats.heavyRows``, largest first and at most
 ``spark.groupstats.maxHeavy`` of them. That limit is what bounds every
 broadcast below. Keys beyond it are still processed: they take the ordinary
-shuffle path, where none of them can hold more than a few
-``total / maxHeavy`` rows. :func:`split` cuts a table once for a chain of operators.
+shuffle path, where none of them can hold more than about
+1/5,000 of the rows. :func:`split` cuts a table once for a chain of operators.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from groupstats.session import HEAVY_ROWS, MAX_HEAVY, SMALL_ROWS, cut_lineage, setting
 
-SKETCH_LEAST, SKETCH_LIMIT = 4096, 1_000_000  # counters of a sketch
+SKETCH_LEAST, SKETCH_MOST = 4096, 20_000  # counters of a sketch
 HASH_PREFIX = 4  # hex digits: 65,536 equal hash ranges
 PAST_LAST = "g"  # sorts after every hex digest
 
@@ -62,9 +62,9 @@ def _key_hash(keys: Sequence[str]) -> Column:
 def find_heavy(df: DataFrame, keys: str | Sequence[str]) -> Heavy:
     """Find the heavy keys of ``df``.
 
-    One pass sketches the frequent keys: every task keeps ``maxHeavy`` counters (4,096 at least), the sketches are merged, and no rows are
-    shuffled. A key is sure to be found if it holds more than ``heavyRows`` rows and more than the sketch's error, below
-    ``4 / maxHeavy`` of the rows; others take the ordinary path. Only if the sketch shows some key above ``heavyRows`` is the
+    One pass sketches the frequent keys: every task keeps ``maxHeavy`` counters, but at least 4,096 and at most 20,000; the
+    sketches are merged, and no rows are shuffled. A key is sure to be found if it holds more than ``heavyRows`` rows and more
+    than the sketch's error, some 4 rows in as many as there are counters; others take the ordinary path. Only if the sketch shows some key above ``heavyRows`` is the
     table read again, to count the rows of such keys exactly.
 
     ``df`` may be a narrower table whose counts per key are at least those of
@@ -73,7 +73,7 @@ def find_heavy(df: DataFrame, keys: str | Sequence[str]) -> Heavy:
     keys = as_list(keys)
     spark = df.sparkSession
     limit, most = setting(spark, HEAVY_ROWS), setting(spark, MAX_HEAVY)
-    tracked = min(max(most, SKETCH_LEAST), SKETCH_LIMIT)
+    tracked = min(max(most, SKETCH_LEAST), SKETCH_MOST)
     sketch = df.select(_key_hash(keys).alias("_key_hash")).agg(
         F.expr(f"approx_top_k(_key_hash, {tracked}, {tracked})").alias("top")
     )
