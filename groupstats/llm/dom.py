@@ -48,6 +48,15 @@ class Node:
 def parse(source: str) -> Node:
     """The tree of a page; markup that is never closed, or closed twice, is read as browsers mostly do."""
     root = here = Node("#root", None)
+    opened: dict[str, int] = {}  # open elements by tag, so that no search goes up in vain
+
+    def leave(upto: Node) -> Node:
+        node = here
+        while node is not upto:
+            opened[node.tag] -= 1
+            node = node.parent
+        return node
+
     at, end = 0, len(source)
     match = _TOKEN.match
     while at < end:
@@ -72,11 +81,11 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if found.group(1):
-            target = here
-            while target is not None and target.tag != name:
-                target = target.parent
-            if target is not None and target.parent is not None:
-                here = target.parent
+            if opened.get(name):
+                target = here
+                while target.tag != name:
+                    target = target.parent
+                here = leave(target.parent)
             elif name == "br":
                 here.children.append(Node("br", here))
             continue
@@ -85,9 +94,9 @@ def parse(source: str) -> Node:
         if attributes and not attributes.isspace():
             marks = {k.lower(): (v or "").strip("\"'").lower() for k, v in _NAMED.findall(attributes)}
         if name in ENDS_P:
-            here = _close(here, {"p"}, {"table", "td", "th", "button", "article", "section", "div", "blockquote", "li", "form", "body"})
+            here = leave(_close(here, opened, {"p"}, {"table", "td", "th", "button", "article", "section", "div", "blockquote", "li", "form", "body"}))
         if name in CLOSES:
-            here = _close(here, *CLOSES[name])
+            here = leave(_close(here, opened, *CLOSES[name]))
         node = Node(name, here, marks)
         here.children.append(node)
         if name in RAW:
@@ -95,10 +104,13 @@ def parse(source: str) -> Node:
             at = stop.end() if stop else end
         elif name not in VOID and not (attributes and attributes.endswith("/")):
             here = node
+            opened[name] = opened.get(name, 0) + 1
     return root
 
 
-def _close(here: Node, tags: set[str], walls: set[str]) -> Node:
+def _close(here: Node, opened: dict[str, int], tags: set[str], walls: set[str]) -> Node:
+    if not any(opened.get(t) for t in tags):
+        return here
     node = here
     while node is not None and node.tag not in walls:
         if node.tag in tags:
