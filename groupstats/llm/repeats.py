@@ -21,7 +21,8 @@ Identifiers of strings are 128 bits: the bucket's 64 and 64 more from a second,
 
 NULL texts are empty. A NULL id comes after all others. Rows with the same id and text are one document given
 several times (each gets its result); with the same id but different texts they are ordered by the text's
-hash.
+hash. Copies of a document are sampled, refined and listed once, whatever their number. Other columns are carried along,
+whatever their names; those named like the appended ones are replaced.
 """
 
 from __future__ import annotations
@@ -117,6 +118,17 @@ def _unpack_place(packed: np.ndarray):
     return packed >> 2 * _SHORT_BITS, (packed >> _SHORT_BITS) & mask, packed & mask
 
 
+def _fresh(part: pa.RecordBatch, seen: set[tuple[int, int]]) -> pa.RecordBatch:
+    """The rows of documents that the task has not met; copies of a document would only say the same again."""
+    if len(seen) > 500_000:
+        seen.clear()
+    new = []
+    for key in zip(part.column("doc").to_pylist(), part.column("tie").to_pylist()):
+        new.append(key not in seen)
+        seen.add(key)
+    return part if all(new) else part.filter(pa.array(new))
+
+
 _SUFFIX = StructType([StructField(n, LongType()) for n in ("bucket", "context", "doc", "tie", "packed")])
 _RUN = StructType([StructField(n, LongType()) for n in ("kind", "doc", "tie", "packed")])
 _REPEAT, _OPEN = 0, 1
@@ -132,8 +144,12 @@ def suffixes(docs: DataFrame, width: int, frequent: np.ndarray | None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
+                part = _fresh(part, seen)
+                if not part.num_rows:
+                    continue
                 data, bounds = text_bytes(part.column("text"))
                 doc, tie = part.column("doc").to_numpy(), part.column("tie").to_numpy()
                 for lo, hi, inner in _windows(bounds, width):
@@ -300,8 +316,12 @@ def open_contexts(docs: DataFrame, width: int) -> DataFrame:
     schema = StructType([StructField(n, LongType()) for n in ("bucket", "doc", "tie", "packed")] + [StructField("bytes", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
+                part = _fresh(part, seen)
+                if not part.num_rows:
+                    continue
                 data, bounds = text_bytes(part.column("text"))
                 column = part.column("open")
                 counts = np.diff(column.offsets.to_numpy())
@@ -325,8 +345,8 @@ def open_contexts(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _gather_runs(runs: DataFrame, kind: int, name: str) -> DataFrame:
-    """The packed places of one kind, listed by document."""
-    return runs.filter(F.col("kind") == kind).groupBy("doc", "tie").agg(F.collect_list("packed").alias(name))
+    """The packed places of one kind, each listed once by document (copies of a document find the same ones)."""
+    return runs.filter(F.col("kind") == kind).groupBy("doc", "tie").agg(F.collect_set("packed").alias(name))
 
 
 def remove_repeats(
@@ -340,12 +360,12 @@ def remove_repeats(
     if not 64 <= width < 128:
         raise ValueError("width must be from 64 to 127")
     spark = df.sparkSession
-    keyed = df.withColumns(
-        {
-            "_doc": F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)),
-            "_tie": _document_tie(text),
-            "_text": F.coalesce(F.col(text).cast("string"), F.lit("")),
-        }
+    names = [c for c in df.columns if c not in ("n_removed", "spans", "kept", "kept_text")]
+    keyed = df.select(
+        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(names)],
+        F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("_doc"),
+        _document_tie(text).alias("_tie"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
     )
     docs = keyed.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.col("_text").alias("text"))
     frequent = frequent_grams(docs, width)
@@ -357,18 +377,19 @@ def remove_repeats(
     more = second_refinement(open_contexts(joined.select("doc", "tie", "text", "open"), width), width)
     repeats = _gather_runs(runs.union(more), _REPEAT, "_runs").withColumnsRenamed({"doc": "_d", "tie": "_t"})
     out = keyed.join(repeats, (keyed["_doc"] == repeats["_d"]) & (keyed["_tie"] == repeats["_t"]), "left")
-    names = [c for c in df.columns if c not in ("n_removed", "spans", "kept", "kept_text")]
-    carried = out.select(*names, "_text", F.coalesce("_runs", F.array().cast("array<bigint>")).alias("_runs"))
+    held = [f"kept_{i}" for i in range(len(names))]
+    carried = out.select(*held, "_text", F.coalesce("_runs", F.array().cast("array<bigint>")).alias("_runs"))
     added = [StructField("n_removed", LongType()), StructField("spans", ArrayType(LongType())), StructField("kept", BinaryType())]
     if keep_text:
         added.append(StructField("kept_text", StringType()))
-    schema = StructType([f for f in carried.schema.fields if f.name not in ("_text", "_runs")] + added)
+    fields = [StructField(c, carried.schema[h].dataType, carried.schema[h].nullable) for c, h in zip(names, held)]
+    schema = StructType(fields + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", STEP_BYTES):
                 made = _cut(part, width, keep_text)
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in held] + made, schema.names)
 
     return carried.mapInArrow(run, schema)
 

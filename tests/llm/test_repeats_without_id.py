@@ -25,3 +25,19 @@ def test_texts_of_one_id_keep_their_own_places(spark, doc_id):
     assert sum(passage in r["kept_text"] for r in rows) == 1
     assert len(left) == 1001
     assert all(abs(len(r["kept_text"]) - len(whole[r["text"]])) <= 12 for r in rows if passage not in r["kept_text"])
+
+
+def test_copies_without_id_cost_what_one_does(spark):
+    """Rows of one text without id are one document: nothing of it but what id 1 has goes, in time linear in the rows."""
+    draw = random.Random(4)
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600))
+    rows = [(1, text[:300], "a", 5, "b")] + [(None, text, "a", 5, "b")] * 4000
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _doc long, _tie string").repartition(5)
+    made = remove_repeats(df)
+    assert set(made.columns) == {*df.columns, "n_removed", "spans", "kept"}
+    counts = made.groupBy("doc_id", "n_removed", "spans", "_text", "_doc", "_tie").count().collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["spans"], r["count"]) for r in counts) == [
+        (0, 300, [0, 300], 4000),
+        (1, 0, [], 1),
+    ]
+    assert {(r["_text"], r["_doc"], r["_tie"]) for r in counts} == {("a", 5, "b")}
