@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from groupstats.functions import columns as fc
 from groupstats.operators import (
-    columns, encode, evaluate, features, filters, groups, keyed, models, nulls, ranks, reshape, scaling,
+    columns, encode, evaluate, features, filters, groups, keyed, models, nulls, profiles, ranks, reshape, scaling,
     splits, targets,
 )
 from groupstats.plans import fitted
@@ -371,6 +371,23 @@ def column_profile(spark, folder):
     return _round(nulls.column_profile(entries(spark, folder), numbers, ["flag_n"]), ["mean", "std"], 4)
 
 
+@query
+def merged_profile(spark, folder):
+    """Profiles kept by year and merged; an estimate above 200 values is held to 4 % of the exact count."""
+    columns = ["l_quantity", "price_n", "flag_n", "p_name", "brand_n", "l_orderkey"]
+    rows = entries(spark, folder, orders=True, parts=True)
+    run = shared_folder(spark, "profiles")
+    profiles.sketch_columns(rows, columns, by=["year"]).write.parquet(run)
+    merged = profiles.merge_profiles(files.read_table(spark, run))
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns])))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.when(F.col("exact") <= 200, 0).otherwise(0.04 * F.col("exact"))
+    return merged.join(exact, "column").select(
+        "column", "rows", "nulls", near.alias("near"), rounded("largest", 2).alias("largest"), "largest_text",
+        rounded("mean", 4).alias("mean"), rounded("std", 4).alias("std"),
+    )
+
+
 # -------------------------------------------------------------------- projections
 
 

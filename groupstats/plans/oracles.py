@@ -387,6 +387,17 @@ ORACLES["column_profile"] = f"{ENTRIES} " + " UNION ALL ".join(
     + ["SELECT 'flag_n', 'categorical', NULL::DOUBLE, NULL::DOUBLE"]
 )
 
+_NUMBERS, _TEXTS = ("l_quantity", "price_n", "l_orderkey"), ("flag_n", "p_name", "brand_n")
+ORACLES["merged_profile"] = f"{ENTRIES} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*)::BIGINT AS \"rows\", (count(*) - count({c}))::BIGINT AS nulls, TRUE AS near, "
+    + (
+        f"{r(f'max({c}::DOUBLE)', 'largest', 2)}, NULL::VARCHAR AS largest_text, {r(f'avg({c})', 'mean', 4)}, {r(f'stddev_samp({c})', 'std', 4)} FROM e"
+        if c in _NUMBERS
+        else f"NULL::DOUBLE AS largest, max({c}) AS largest_text, NULL::DOUBLE AS mean, NULL::DOUBLE AS std FROM e"
+    )
+    for c in _NUMBERS + _TEXTS
+)
+
 # -------------------------------------------------------------------- projections
 
 
