@@ -16,7 +16,7 @@ from groupstats.operators import (
 )
 from groupstats.plans import fitted
 from groupstats.plans.views import ENTRY, GROUP, careers, entries, heavy_orders, rounded, slots, table
-from groupstats.session import shared_folder
+from groupstats.session import shared_folder, stored
 from groupstats.skew import split
 from groupstats.sources import files, schema
 from groupstats.streaming.apply import apply_to_stream, read_entries
@@ -827,7 +827,7 @@ def _model_rows(spark, folder):
         *ID, *MODEL_FEATURES, "year", "is_win", "is_place", "l_discount",
         F.col("pay_win").alias("hr_PaybackWin"), F.col("pay_place").alias("hr_PaybackPlace"),
     )
-    return df.withColumn("label", F.col("l_quantity") / 50 + F.col("l_discount"))
+    return stored(df.withColumn("label", F.col("l_quantity") / 50 + F.col("l_discount")), "model_rows")
 
 
 @query

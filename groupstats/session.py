@@ -60,3 +60,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` worked out once, for work that reads it several times: Parquet in the cluster's shared folder."""
+    if any(part in df.schema.simpleString() for part in ("void", "interval")):  # Parquet has no such columns
+        return cut_lineage(df)
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
