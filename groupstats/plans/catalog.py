@@ -298,7 +298,7 @@ def one_hot(spark, folder):
 
 
 def _max_codes(spark, folder):
-    df = entries(spark, folder, orders=True, parts=True).select("p_brand", "p_name", "flag_n", "year")
+    df = stored(entries(spark, folder, orders=True, parts=True).select("p_brand", "p_name", "flag_n", "year"), "codes")
     codes = ["p_brand", "p_name", "flag_n"]
     before, after = splits.split_by_year(encode.label_encode(df, codes), 2000, "year")
     return encode.max_codes([before, after], codes)
