@@ -375,10 +375,8 @@ def column_profile(spark, folder):
 def merged_profile(spark, folder):
     """Profiles kept by year and merged; an estimate above 200 values is held to 4 % of the exact count."""
     columns = ["l_quantity", "price_n", "flag_n", "p_name", "brand_n", "l_orderkey"]
-    rows = entries(spark, folder, orders=True, parts=True)
-    run = shared_folder(spark, "profiles")
-    profiles.sketch_columns(rows, columns, by=["year"]).write.parquet(run)
-    merged = profiles.merge_profiles(files.read_table(spark, run))
+    rows = stored(entries(spark, folder, orders=True, parts=True).select("year", *columns), "profiled")
+    merged = profiles.merge_profiles(stored(profiles.sketch_columns(rows, columns, by=["year"]), "profiles"))
     exact = rows.agg(*[F.count_distinct(c).alias(c) for c in columns])
     exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns])))
     near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.when(F.col("exact") <= 200, 0).otherwise(0.04 * F.col("exact"))
