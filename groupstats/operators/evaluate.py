@@ -186,26 +186,30 @@ def winner_accuracy(
 
 #: Entries of a stripe at most, when its blocks are narrower: two stripes make a cell of the grid of pairs.
 STRIPE = 1024
-#: Pairs worked out at once.
-PAIRS_AT_ONCE = 1 << 20
+#: Pairs worked out at once: their arrays stay in a core's cache.
+PAIRS_AT_ONCE = 1 << 15
 
 
-def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, x)
+def _softplus(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``log(1 + exp(x))`` and ``log(1 + exp(-x))`` from one exponential and one logarithm, without overflow."""
+    shared = np.log(1.0 + np.exp(-np.abs(x)))
+    return np.maximum(x, 0.0) + shared, np.maximum(-x, 0.0) + shared
 
 
 def _entropy(pred_gap: np.ndarray, label_gap: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Cross-entropy of the order of two entries; the same whichever comes first."""
-    lowest = math.log(SMALLEST_PROBABILITY)
-    first = np.exp(-_softplus(-label_gap))
-    return -first * np.maximum(-_softplus(-pred_gap), lowest) - (1 - first) * np.maximum(-_softplus(pred_gap), lowest)
+    highest = -math.log(SMALLEST_PROBABILITY)
+    small = np.exp(-np.abs(label_gap))
+    first = np.where(label_gap < 0, small, 1.0) / (1.0 + small)
+    second_loss, first_loss = _softplus(pred_gap)
+    return first * np.minimum(first_loss, highest) + (1 - first) * np.minimum(second_loss, highest)
 
 
 def _clipped(pred_gap: np.ndarray, label_gap: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Both orders of two entries."""
     product = np.tanh(label_gap)
-    one = np.clip(width + _softplus(pred_gap) * product, 0.0, width)
-    return one + np.clip(width - _softplus(-pred_gap) * product, 0.0, width)
+    up, down = _softplus(pred_gap)
+    return np.clip(width + up * product, 0.0, width) + np.clip(width - down * product, 0.0, width)
 
 
 def _pair_sums(term, width: np.ndarray, a: tuple, b: tuple | None) -> np.ndarray:
