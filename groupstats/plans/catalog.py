@@ -251,6 +251,7 @@ def target_encode_many(spark, folder):
         *ID, "is_place", "price_n", "o_orderpriority", "l_linestatus", "flag_n", "p_type", "l_returnflag", "brand_n", "p_name",
         *[c.cast("string").alias(n) for n, c in more.items()],
     )
+    df = stored(df, "pairs")  # read by the fit and by the lookups
     out = encode.encode_pairs(
         df, ["o_orderpriority", "l_linestatus", "flag_n", "y", "m"],
         ["p_type", "l_returnflag", "brand_n", "p_name", "size", "line", "supplier", "begin"], ["is_place", "price_n"],

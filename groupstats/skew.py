@@ -18,7 +18,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupstats.session import HEAVY_ROWS, MAX_HEAVY, SMALL_ROWS, cut_lineage, setting
+from groupstats.session import HEAVY_ROWS, MAX_HEAVY, SMALL_ROWS, cut_lineage, setting, stored
 
 SKETCH_LEAST, SKETCH_MOST = 4096, 20_000  # counters of a sketch
 HASH_PREFIX = 4  # hex digits: 65,536 equal hash ranges
@@ -220,14 +220,13 @@ def freeze(table: DataFrame) -> Fitted:
     """Compute a per-key table once.
 
     Up to ``spark.groupstats.smallRows`` rows it becomes a local table that is
-    safe to broadcast, otherwise a checkpoint in the shared folder.
+    safe to broadcast; larger ones stay in the shared folder.
     """
     spark = table.sparkSession
-    limit = setting(spark, SMALL_ROWS)
-    head = table.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return Fitted(spark.createDataFrame(head, schema=table.schema), True)
-    return Fitted(cut_lineage(table), False)
+    rows = stored(table, "fitted")
+    if rows.count() <= setting(spark, SMALL_ROWS):
+        return Fitted(spark.createDataFrame(rows.toArrow(), schema=table.schema), True)
+    return Fitted(rows, False)
 
 
 def attach(
@@ -268,7 +267,8 @@ def attach_many(
 
     The smallest tables are broadcast, as many as fit ``spark.groupstats.smallRows`` together. All others take one
     shuffle, however many they are: the keys of a row become rows of (table, key), meet their table's rows, heavy keys by
-    broadcast, and come back by row.
+    broadcast, and come back by row. They come first, while the rows are as narrow as they were given, and what is found by
+    broadcast is added to the joined rows without a shuffle. Tables go by number there.
     """
     spark = df.sparkSession
     values = [c for c in fitted.rows.columns if c not in (which, key)]
@@ -280,20 +280,22 @@ def attach_many(
             room -= sizes.get(name, 0)
             (broadcast if room >= 0 else spread).append(name)
     names = df.columns
-    for name in broadcast:
-        found = F.struct(*values).alias(f"_got_{name}")
-        one = fitted.rows.filter(F.col(which) == name).select(F.col(key).alias("_looked_up"), found)
-        df = df.withColumn("_looked_up", keys[name]).join(F.broadcast(one), "_looked_up", "left").drop("_looked_up")
     if spread:
-        df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-        asked = [F.struct(F.lit(name).alias(which), keys[name].cast(fitted.rows.schema[key].dataType).alias(key)) for name in spread]
-        rows = df.select("_row", F.inline(F.array(*asked)))
-        rest = Fitted(fitted.rows.filter(F.col(which).isin(spread)), False)
-        met = attach(rows, rest, [which, key], "inner")
+        df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        numbered = fitted.rows.filter(F.col(which).isin(spread)).withColumn(
+            which, reduce(lambda c, i: c.when(F.col(which) == spread[i], i), range(1, len(spread)), F.when(F.col(which) == spread[0], 0))
+        )
+        asked = [F.struct(F.lit(i).alias(which), keys[name].cast(fitted.rows.schema[key].dataType).alias(key)) for i, name in enumerate(spread)]
+        rows = df.select("_row", F.inline(F.array(*asked))).filter(F.col(key).isNotNull())
+        met = attach(rows, Fitted(numbered, False), [which, key], "inner")
         got = met.groupBy("_row").agg(
-            *[F.first(F.when(F.col(which) == name, F.struct(*values)), True).alias(f"_got_{name}") for name in spread]
+            *[F.first(F.when(F.col(which) == i, F.struct(*values)), True).alias(f"_got_{name}") for i, name in enumerate(spread)]
         )
         df = df.join(got, "_row", "left").drop("_row")
+    for name in broadcast:
+        found = F.struct(*values).alias(f"_got_{name}")
+        one = fitted.rows.filter(F.col(which) == name).select(F.col(key).alias("_looked_up"), found)
+        df = df.withColumn("_looked_up", keys[name]).join(F.broadcast(one), "_looked_up", "left").drop("_looked_up")
     if how == "inner":
         df = df.filter(reduce(lambda a, b: a & b, [F.col(f"`_got_{name}`").isNotNull() for name in keys], F.lit(True)))
     return df.select(*names, *[f"`_got_{name}`" for name in keys])

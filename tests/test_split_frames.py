@@ -154,3 +154,16 @@ def test_joins_of_lookups_do_not_grow_with_their_number(spark, limits):
         out = attach_many(df, Fitted(table, False), "t", "k", {f"t{i}": F.col("k") for i in range(n)})
         joins.append(out._jdf.queryExecution().optimizedPlan().toString().count("Join "))
     assert joins[0] == joins[1]
+
+
+def test_lookups_store_rows_as_narrow_as_given(spark, limits, monkeypatch):
+    """What is found by broadcast is not carried through the join of the large tables."""
+    from groupstats import skew
+
+    stored, seen = skew.stored, []
+    monkeypatch.setattr(skew, "stored", lambda df, name: seen.append(df.columns) or stored(df, name))
+    limits(smallRows=2)
+    table = spark.createDataFrame([(n, str(v), 1.0) for n, size in (("a", 2), ("b", 9)) for v in range(size)], "t string, k string, x double")
+    df = spark.range(20).select("id", (F.col("id") % 2).cast("string").alias("a"), (F.col("id") % 9).cast("string").alias("b"))
+    out = attach_many(df, Fitted(table, False), "t", "k", {n: F.col(n) for n in "ab"})
+    assert seen == [["id", "a", "b", "_row"]] and out.filter("_got_a.x + _got_b.x = 2").count() == 20
