@@ -139,19 +139,22 @@ def word_slices(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(data):
         none = np.zeros(0, np.int64)
         return data, none, none, np.zeros(len(bounds) - 1, np.int64)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    blank = (data == 32) | (data - np.uint8(9) <= 4)
     first = np.zeros(len(data), bool)
     first[bounds[:-1][np.diff(bounds) > 0]] = True
     starts = ~blank
+    kept, ends = starts.copy(), starts.copy()
     starts[1:] &= blank[:-1] | first[1:]
-    kept = ~blank
-    kept[1:] |= blank[1:] & ~blank[:-1] & ~first[1:]
-    plain = data[kept]
-    plain = np.where((plain >= 65) & (plain <= 90), plain + 32, plain).astype(np.uint8)
-    place = np.cumsum(kept) - kept
-    plain[place[blank & kept]] = 32
-    ends = ~blank
     ends[:-1] &= blank[1:] | first[1:]
-    at = np.flatnonzero(starts)
-    words = np.diff(np.searchsorted(at, bounds))
-    return plain, place[starts], place[ends] + 1, words
+    at, after = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    sizes = after - at
+    spaced = np.zeros(len(at), bool)  # words with a blank after them
+    inner = after[: len(after) - int(len(after) > 0 and after[-1] == len(data))]
+    spaced[: len(inner)] = blank.take(inner) & ~first.take(inner)
+    kept[after[spaced]] = True
+    plain = data[kept]
+    plain |= (plain - np.uint8(65) < 26).view(np.uint8) << 5
+    begin = np.cumsum(sizes + spaced) - sizes - spaced
+    end = begin + sizes
+    plain[end[spaced]] = 32
+    return plain, begin, end, np.diff(np.searchsorted(at, bounds))

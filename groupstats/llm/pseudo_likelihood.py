@@ -26,6 +26,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from groupstats.llm.batches import lists, map_batches, release, slices, text_bytes, unused, whole_text, word_slices
+from groupstats.llm.batches import gather, lists, map_batches, release, slices, text_bytes, unused, whole_text, word_slices
 from groupstats.llm.hashing import xxh64
 from groupstats.session import stored
 
@@ -83,10 +84,24 @@ class Vocabulary:
     def leaves(self) -> int:
         return len(self.words) + ENDINGS
 
+    @cached_property
+    def _by_high_bits(self) -> tuple[int, np.ndarray, int]:
+        """How far a word is shifted to its high bits, the first leaf of each value of them, and the most leaves of one."""
+        bits = len(self.words).bit_length() + 2
+        n = np.bincount((self.words >> np.int64(64 - bits)) + (1 << bits - 1), minlength=1 << bits)
+        return 64 - bits, (np.cumsum(n) - n).astype(np.int32), int(n.max())
+
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' leaves, and which words are rare."""
-        leaf = np.searchsorted(self.words, words).astype(np.int32)
-        rare = np.append(self.words, -1)[leaf] != words
+        shift, firsts, most = self._by_high_bits
+        known = np.append(self.words, np.iinfo(np.int64).max)
+        if most > 32:
+            leaf = np.searchsorted(self.words, words).astype(np.int32)
+        else:  # as hashes are even, few words share their high bits
+            leaf = firsts.take((words >> np.int64(shift)) + len(firsts) // 2)
+            for _ in range(most):
+                leaf += known.take(leaf) < words
+        rare = known.take(leaf) != words
         rare |= leaf == len(self.words)
         leaf[rare] = len(self.words) + (words[rare] & (ENDINGS - 1))
         return leaf, rare
@@ -201,31 +216,43 @@ class WindowNetwork:
         self.visits = np.zeros(len(table), np.int64)
         self.first_node, self.first_factor = inputs, inputs + nodes
 
-    def _hidden(self, stream: np.ndarray, places: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """Where the places' windows begin, the input vectors from there on, and the hidden layer."""
+    def _hidden(self, stream: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input vectors of the places' windows, the hidden layer from the first place on, and the places in it.
+
+        The layer has a line for each of its numbers, so that work on all places runs along the lines.
+        """
         base = int(places[0]) - REACH
         vectors = np.ascontiguousarray(self.table.take(stream[base : int(places[-1]) + REACH + 1], axis=0)[:, :HIDDEN])
+        lines = np.ascontiguousarray(vectors.T)
         inner = len(vectors) - 2 * REACH
-        total = np.broadcast_to(self.table[-1, :HIDDEN], (inner, HIDDEN)).copy()
+        total = np.repeat(self.table[-1, :HIDDEN, None], inner, axis=1)
         for k, offset in enumerate(_OFFSETS):
-            total += vectors[REACH + offset :][:inner] * self.table[self.first_factor + k, :HIDDEN]
-        return base, vectors, np.tanh(total.take(places - (base + REACH), axis=0))
-
-    def _descend(self, hidden: np.ndarray, leaf: np.ndarray, depths: np.ndarray) -> Iterator[tuple]:
-        """Step by step down the paths, deepest leaves first: rows of the nodes, their vectors, scores and sides."""
-        starts = self.vocabulary.starts.take(leaf)
-        count = np.searchsorted(-depths.astype(np.int64), -np.arange(int(depths[0])), side="left")
+            total += lines[:, REACH + offset :][:, :inner] * self.table[self.first_factor + k, :HIDDEN, None]
+        return vectors, np.tanh(total, out=total), places - (base + REACH)
+
+    def _descend(self, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Step by step down the paths, deepest leaves first: rows of the nodes, where the places of each begin and
+        how many they are, and the sides that the places go to.
+        """
+        # equal leaves stand side by side, and so do equal nodes; none of these stands on two levels
+        begin = np.concatenate([[0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]])
+        number = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        leaf = leaf.take(begin[:-1])
+        depths = self.vocabulary.depths.take(leaf).astype(np.int64)
+        count = np.searchsorted(-depths, -np.arange(int(depths[0])), side="left")
+        leaves = gather(np.zeros_like(count), count)  # of the first level, then of the second, and so on
+        at = self.vocabulary.starts.take(leaf).take(leaves) + np.repeat(np.arange(len(count)), count)
+        nodes, sides = self.vocabulary.nodes.take(at), self.vocabulary.right.take(at)
+        first = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1])
+        rows = nodes.take(first) + self.first_node
+        sizes = np.add.reduceat(np.diff(begin).take(leaves), first)
+        level = np.concatenate([[0], np.cumsum(count)])
+        cuts = np.searchsorted(first, level).tolist()
+        first = begin.take(leaves.take(first))
         for step, n in enumerate(count.tolist()):
-            at = starts[:n] + step
-            rows = self.vocabulary.nodes.take(at) + self.first_node
-            numbers = self.table.take(rows, axis=0)
-            vectors = numbers[:, :HIDDEN]
-            scores = np.einsum("ij,ij->i", vectors, hidden[:n]) + numbers[:, HIDDEN]
-            yield rows, vectors, scores, self.vocabulary.right.take(at)
-
-    def _deepest_first(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(self.vocabulary.ranks.take(leaf))
-        return order, self.vocabulary.depths.take(leaf.take(order))
+            some = slice(cuts[step], cuts[step + 1])
+            right = sides[level[step] : level[step + 1]].take(number[: begin[n]])
+            yield rows[some], first[some], sizes[some], right
 
     def log_probabilities(self, stream: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Log-probabilities of the leaves at ``places``."""
@@ -233,10 +260,13 @@ class WindowNetwork:
         for at in range(0, len(places), STEP_TOKENS):
             some = places[at : at + STEP_TOKENS]
             leaf = stream[some]
-            order, depths = self._deepest_first(leaf)
-            hidden = self._hidden(stream, some)[2].take(order, axis=0)
+            order = np.argsort(self.vocabulary.ranks.take(leaf))
+            _, layer, inside = self._hidden(stream, some)
             sums = np.zeros(len(some))
-            for _, _, scores, right in self._descend(hidden, leaf.take(order), depths):
+            hidden = np.ascontiguousarray(layer.T).take(inside.take(order), axis=0)
+            for rows, _, sizes, right in self._descend(leaf.take(order)):
+                numbers = self.table.take(np.repeat(rows, sizes), axis=0)
+                scores = np.einsum("ij,ij->i", numbers[:, :HIDDEN], hidden[: len(numbers)]) + numbers[:, HIDDEN]
                 wrong = np.where(right, -scores, scores)
                 sums[: len(wrong)] -= np.maximum(wrong, 0) + np.log1p(np.exp(-np.abs(wrong)))
             out[at + order] = sums
@@ -244,52 +274,72 @@ class WindowNetwork:
 
     def gradient(self, stream: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Rows met, how often, and the slopes in them of the summed negative log-probabilities at ``places``."""
-        base, vectors, layer = self._hidden(stream, places)
+        vectors, layer, inside = self._hidden(stream, places)
         leaf = stream[places]
-        order, depths = self._deepest_first(leaf)
-        hidden = layer.take(order, axis=0)
-        deep, product = np.zeros_like(hidden), np.empty_like(hidden)
-        for met, numbers, scores, right in self._descend(hidden, leaf.take(order), depths):
-            error = 1 / (1 + np.exp(-scores)) - right
-            deep[: len(met)] += np.multiply(numbers, error[:, None], out=product[: len(met)])
-            # equal nodes stand side by side, and none stands on two levels
-            first = np.concatenate([[0], np.flatnonzero(met[1:] != met[:-1]) + 1])
-            slopes = np.empty((len(first), HIDDEN + 1), np.float32)
-            np.multiply(hidden[: len(met)], error[:, None], out=product[: len(met)])
-            np.add.reduceat(product[: len(met)], first, out=slopes[:, :HIDDEN])
-            np.add.reduceat(error, first, out=slopes[:, HIDDEN])
-            yield met.take(first), np.diff(first, append=len(met)), slopes
-        back = np.empty_like(deep)
-        back[order] = deep
-        back *= 1 - layer * layer
-        inner = len(vectors) - 2 * REACH
-        full = np.zeros((inner, HIDDEN), np.float32)
-        full[places - (base + REACH)] = back
-        spread = np.zeros((len(vectors), HIDDEN), np.float32)
-        factors = np.zeros((len(_OFFSETS) + 1, HIDDEN + 1), np.float32)
+        order = np.argsort(self.vocabulary.ranks.take(leaf))
+        hidden = layer.take(inside.take(order), axis=1, mode="clip")
+        deep = np.zeros((HIDDEN, len(places) + 1), hidden.dtype)  # the last column is that of blanks
+        product = np.empty((HIDDEN + 1, len(places)), hidden.dtype)
+        for met, first, sizes, right in self._descend(leaf.take(order)):
+            n = len(right)
+            numbers = np.repeat(np.ascontiguousarray(self.table.take(met, axis=0).T), sizes, axis=1)
+            terms = np.multiply(numbers[:HIDDEN], hidden[:, :n], out=product[:HIDDEN, :n])
+            while len(terms) > 4:  # four sums, each from its last line on
+                terms[-8:-4] += terms[-4:]
+                terms = terms[:-4]
+            scores = (terms[0] + terms[1]) + (terms[2] + terms[3])
+            scores += numbers[HIDDEN]
+            error = np.subtract(1 / (1 + np.exp(-scores)), right, out=product[HIDDEN, :n])
+            numbers[:HIDDEN] *= error
+            deep[:, :n] += numbers[:HIDDEN]
+            np.multiply(hidden[:, :n], error, out=product[:HIDDEN, :n])
+            yield from _sums(product[:, :n], met, first, sizes)
+        source = np.full(layer.shape[1], len(places))
+        source[inside.take(order)] = np.arange(len(places))
+        full = deep.take(source, axis=1, mode="clip")
+        full *= 1 - layer * layer
+        inner = full.shape[1]
+        spread = np.zeros((HIDDEN + 1, len(vectors)), full.dtype)
+        factors = np.zeros((len(_OFFSETS) + 1, HIDDEN + 1), full.dtype)
+        by_place = np.ascontiguousarray(full.T)
         for k, offset in enumerate(_OFFSETS):
-            spread[REACH + offset :][:inner] += full * self.table[self.first_factor + k, :HIDDEN]
-            factors[k, :HIDDEN] = np.einsum("ij,ij->j", full, vectors[REACH + offset :][:inner])
-        factors[-1, :HIDDEN] = back.sum(axis=0)
+            spread[:HIDDEN, REACH + offset :][:, :inner] += full * self.table[self.first_factor + k, :HIDDEN, None]
+            factors[k, :HIDDEN] = np.einsum("ij,ij->j", by_place, vectors[REACH + offset :][:inner])
+        factors[-1, :HIDDEN] = by_place.sum(axis=0)
+        base = int(places[0]) - REACH
         found, n, together, first = _grouped(stream[base : base + len(vectors)], self.first_node)
-        slopes = np.zeros((len(found), HIDDEN + 1), np.float32)
-        slopes[:, :HIDDEN] = np.add.reduceat(spread.take(together, axis=0), first)
-        yield found, n, slopes
+        yield from _sums(spread.take(together, axis=1, mode="clip"), found, first, n)
         yield np.arange(self.first_factor, len(self.table)), np.full(len(factors), len(places)), factors
 
     def train(self, stream: np.ndarray, places: np.ndarray) -> None:
         """One pass of gradient steps over the tokens at ``places``."""
+        # a row as one item is written much faster than as a row of numbers
+        item = np.dtype((np.void, self.table.dtype.itemsize * (HIDDEN + 1)))
         for at in range(0, len(places), STEP_TOKENS):
             # no row comes twice
             rows, n, slopes = map(np.concatenate, zip(*self.gradient(stream, places[at : at + STEP_TOKENS])))
+            slopes = np.ascontiguousarray(slopes)
             self.visits[rows] += n
             squares = slopes * slopes
             squares += self.slopes.take(rows, axis=0)
-            self.slopes[rows] = squares
+            self.slopes.view(item)[rows] = squares.view(item)
             slopes /= np.sqrt(squares, out=squares)
             slopes *= -RATE
             slopes += self.table.take(rows, axis=0)
-            self.table[rows] = slopes
+            self.table.view(item)[rows] = slopes.view(item)
+
+
+def _sums(lines: np.ndarray, rows: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """Rows, the sizes of their runs in the lines, and the runs' sums; the many runs of one are only copied."""
+    one, more = np.flatnonzero(sizes == 1), np.flatnonzero(sizes > 1)
+    if len(one) < len(more):
+        yield rows, sizes, np.add.reduceat(lines, first, axis=1).T
+        return
+    yield rows.take(one), sizes.take(one), lines.take(first.take(one), axis=1, mode="clip").T
+    if len(more):
+        n = sizes.take(more)
+        some = lines.take(gather(first.take(more), n), axis=1, mode="clip")
+        yield rows.take(more), n, np.add.reduceat(some, np.cumsum(n) - n, axis=1).T
 
 
 def _grouped(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

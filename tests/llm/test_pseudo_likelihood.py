@@ -95,3 +95,53 @@ def test_averages_are_weighted_by_visits():
     (made,) = pseudo_likelihood._average(iter(batches))
     assert np.frombuffer(made.column("places")[0].as_py(), np.int64).tolist() == [4096, 4100]
     assert np.frombuffer(made.column("numbers")[0].as_py(), np.float32).reshape(-1, 17)[:, 0].tolist() == [1, 3]
+
+
+class _Counted(np.ndarray):
+    """Parameters that count the rows read from them."""
+
+    read = 0
+
+    def take(self, indices, *args, **kwargs):
+        if self.shape[1:] == (pseudo_likelihood.HIDDEN + 1,):
+            _Counted.read += np.size(indices)
+        return self.view(np.ndarray).take(indices, *args, **kwargs)
+
+
+def test_a_step_of_training_reads_a_node_once(spark):
+    counts = spark.createDataFrame([(k << 48, 5 + k * k) for k in range(-60, 60)], "word long, n long")
+    vocabulary = count_vocabulary(counts)
+    network = WindowNetwork(vocabulary)
+    draw = np.random.default_rng(4)
+    sizes = np.array([400, 1, 500])
+    stream, places = padded(draw.integers(0, vocabulary.leaves, sizes.sum()), sizes, vocabulary.leaves)
+    network.table, _Counted.read = network.table.view(_Counted), 0
+    met = np.concatenate([rows for rows, _, _ in network.gradient(stream, places)])
+    nodes = np.count_nonzero((met >= network.first_node) & (met < network.first_factor))
+    assert len(np.unique(met)) == len(met) and nodes > 100
+    assert _Counted.read <= nodes + len(stream)
+
+
+def test_words_are_found_whatever_their_high_bits(spark):
+    draw = np.random.default_rng(6)
+    ends = np.iinfo(np.int64)
+    for words in (draw.integers(ends.min, ends.max, 3000), np.arange(-1500, 1500), np.array([ends.min, -1, 0, ends.max]), np.zeros(0, np.int64)):
+        words = np.unique(words)
+        counts = spark.createDataFrame([(w, 1000) for w in words.tolist()], "word long, n long")
+        vocabulary = count_vocabulary(counts)
+        asked = np.concatenate([words, words + 1, draw.integers(ends.min, ends.max, 500), [ends.min, -1, 0, ends.max]])
+        leaf, rare = vocabulary.find(asked)
+        place = {w: k for k, w in enumerate(words.tolist())}
+        assert vocabulary.words.tolist() == words.tolist()
+        assert leaf.tolist() == [place.get(w, len(words) + (w & 255)) for w in asked.tolist()]
+        assert rare.tolist() == [w not in place for w in asked.tolist()]
+
+
+def test_sums_of_runs_of_one_and_more():
+    draw = np.random.default_rng(8)
+    for sizes in (np.array([1]), np.array([4]), np.array([1, 1, 3, 1]), np.array([2, 1, 5, 7]), np.ones(6, int)):
+        lines, first = draw.normal(size=(17, sizes.sum())), np.cumsum(sizes) - sizes
+        made = {int(r): (int(n), x) for rows, ns, xs in pseudo_likelihood._sums(lines, 10 + np.arange(len(sizes)), first, sizes) for r, n, x in zip(rows, ns, xs)}
+        assert sorted(made) == list(range(10, 10 + len(sizes)))
+        for k, (a, n) in enumerate(zip(first, sizes)):
+            assert made[10 + k][0] == n and made[10 + k][1] == pytest.approx(lines[:, a : a + n].sum(axis=1))
