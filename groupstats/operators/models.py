@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 
 from groupstats.operators.evaluate import fold_summary, top1_report
 from groupstats.operators.splits import fold_frames
+from groupstats.session import checkpoints
 
 METRICS = ["win_hit", "place_hit", "win_return", "place_return"]
 #: What a job learns with unless told otherwise.
 DEFAULTS = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 32}
+#: As many rounds as the validation rows want: the reference's most, and the first one that does not make their error less.
+#: (MLlib's own tolerance of 0.01 counts errors below 0.01 as 0.01 and can end a fit at its first tree; with 0, equal errors go on.)
+UNTIL_WORSE = {"maxIter": 20_000, "validationTol": 1e-6}
 WEIGHT = "_weight"
 #: Merged rows there should be at least: without and with trees that draw rows, which then draw lots of rows.
 LOTS, DRAWN_LOTS = 1 << 16, 1 << 20
@@ -209,7 +213,8 @@ def frequent_values(df: DataFrame, columns: Sequence[str], most: int) -> dict[st
 
 
 def fit_boosting(train: DataFrame, job: Boosting, valid: DataFrame | None = None) -> PipelineModel:
-    """Fit trees; with validation rows, stop when they no longer improve."""
+    """Fit trees; with validation rows, stop when they no longer improve (``UNTIL_WORSE`` leaves the number of rounds to them)."""
+    checkpoints(train.sparkSession)  # MLlib cuts the lineage of many rounds there
     made = job.preparation(train)
     mark, rows = {}, train
     if valid is not None:

@@ -54,11 +54,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder."""
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Let Spark keep checkpoints in the cluster's shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the cluster's shared folder."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

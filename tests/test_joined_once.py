@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from groupstats.operators import models
 from groupstats.plans.catalog import QUERIES
 
 
@@ -32,3 +33,20 @@ def test_result_reads_the_stored_rows(spark, folder, name):
     out = QUERIES[name](spark, folder)
     assert not [f for f in out.inputFiles() if "lineitem.parquet" in f or "orders.parquet" in f]
     assert out.count() > 0
+
+
+def test_held_out_folds_decide_the_number_of_rounds(spark, folder, monkeypatch):
+    fitted, fit = [], models.fit_boosting
+
+    def kept(train, job, valid):
+        fitted.append((fit(train, job, valid), train, valid, job))
+        return fitted[-1][0]
+
+    monkeypatch.setattr(models, "fit_boosting", kept)
+    assert QUERIES["gbt_folds"](spark, folder).count() == 5
+    rounds = [model.stages[-1].getNumTrees for model, *_ in fitted]
+    assert len(rounds) == 5 and min(rounds) > 2 and max(rounds) < 20_000
+    model, train, valid, job = fitted[0]
+    one_more = models.Boosting(job.features, job.label, params={"maxIter": rounds[0] + 1})
+    error = lambda m: models.score(m, valid).agg(F.avg((F.col("label") - F.col("pred")) ** 2)).first()[0]
+    assert error(model) <= error(fit(train, one_more)) + 1e-8
