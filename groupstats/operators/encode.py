@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groupstats.functions import columns as fc
 from groupstats.functions import fixed
+from groupstats.operators import pair_tables
 from groupstats.operators.columns import encoded_name
+from groupstats.session import SMALL_ROWS, setting, stored
 from groupstats.skew import Fitted, attach, attach_many, freeze, number_rows
 
 # -------------------------------------------------------------- value counts
@@ -226,6 +230,32 @@ def target_encode(
     return joined.select(*df.columns, name)
 
 
+#: Cells of the looked-up grids for each row that a broadcast table may have: a cell takes 8 bytes a target.
+GRID_CELLS = 32
+#: Types that go through Arrow and back as they are.
+PLAIN = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
+def _fit_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], targets: Sequence[str]) -> DataFrame:
+    """(_pair, _key, _entry, _group) with the rows, sums and counts of targets of each pair of values; stored."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    stats = ["_n", *[f"_{kind}_{t}" for t in targets for kind in ("sum", "count")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pair_tables.count_pairs(batches, pairs, targets)
+
+    rows = df.select(*_texts(columns), *[F.col(t).cast("double").alias(t) for t in targets])
+    kinds = ", ".join(f"`{s}` {'double' if s.startswith('_sum') else 'long'}" for s in stats)
+    counted = rows.mapInArrow(run, f"_pair int, _entry string, _group string, {kinds}")
+    key = fc.text_key(F.col("_entry"), F.col("_group"))
+    return stored(counted.groupBy("_pair", key.alias("_key"), "_entry", "_group").agg(*[F.sum(s).alias(s) for s in stats]), "fitted")
+
+
+def _texts(columns: Sequence[str]) -> list[Column]:
+    """The parts of :func:`text_key`."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(pair_tables.text(c)) for c in columns]
+
+
 def encode_pairs(
     df: DataFrame,
     group_codes: Sequence[str] = tuple(fixed.ENCODED_RACE_CODES),
@@ -233,29 +263,60 @@ def encode_pairs(
     targets: Sequence[str] = ("is_place", "margin"),
     k: float = fixed.SMOOTHING_ROWS,
     f: float = fixed.SMOOTHING_SCALE,
+    keep: Sequence[str] | None = None,
+    finish: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Target-encode every pair of a group code and an entry code.
 
-    Absent columns are skipped. All pairs and targets are fitted in one scan
-    and one aggregation. Results are ``<group code>_<entry code>_te_<target>``.
+    Absent columns are skipped. All pairs and targets are fitted in one scan and looked up in another; a row is not multiplied
+    by the pairs in either. The smallest pairs are looked up in arrays, as many as have ``GRID_CELLS`` cells for each of the
+    ``spark.groupstats.smallRows``, all others by joins. Results are ``<group code>_<entry code>_te_<target>``, next to the
+    columns in ``keep`` (all by default). ``finish`` changes each result, such as by rounding; it is worked out once a key.
     """
-    pairs = [
-        (g, e) for g in group_codes for e in entry_codes if g in df.columns and e in df.columns
-    ]
+    pairs = {
+        f"{encoded_name(g)}_{encoded_name(e)}_te": (e, g)
+        for g in group_codes for e in entry_codes if g in df.columns and e in df.columns
+    }
+    kept = df.columns if keep is None else list(keep)
     if not pairs:
-        return df
-    keys = {f"{encoded_name(g)}_{encoded_name(e)}_te": fc.text_key(F.col(e), F.col(g)) for g, e in pairs}
-    rows = [
-        F.struct(F.lit(stem).alias("_pair"), key.alias("_key"), *[F.col(t) for t in targets]) for stem, key in keys.items()
-    ]
-    table = freeze(
-        df.select(F.inline(F.array(*rows))).groupBy("_pair", "_key").agg(*_target_stats(targets))
-    )
-    priors = _priors(table.rows.filter(F.col("_pair") == next(iter(keys))), targets)
-    values = [_smoothed(t, priors[t], k, f, True).alias(t) for t in targets]
-    found = attach_many(df, Fitted(table.rows.select("_pair", "_key", *values), table.small), "_pair", "_key", keys, "inner")
-    encoded = [F.col(f"`_got_{stem}`").getField(t).alias(f"{stem}_{t}") for stem in keys for t in targets]
-    return found.select(*df.columns, *encoded)
+        return df.select(*kept)
+    stems, spark = list(pairs), df.sparkSession
+    counted = _fit_pairs(df, list(pairs.values()), targets)
+    priors = _priors(counted.filter(F.col("_pair") == 0), targets)
+    same_key = Window.partitionBy("_pair", "_key")  # different values can read the same
+    stats = counted.columns[4:]
+    totals = counted.select(*counted.columns[:4], *[F.sum(s).over(same_key).alias(s) for s in stats])
+    value = lambda t: _smoothed(t, priors[t], k, f, True)
+    values = [(finish(value(t)) if finish else value(t)).alias(t) for t in targets]
+    table = totals.select("_pair", "_key", "_entry", "_group", *values)
+
+    cells = F.approx_count_distinct("_entry") * F.approx_count_distinct("_group")
+    sizes = {r["_pair"]: r["cells"] for r in counted.groupBy("_pair").agg(cells.alias("cells")).collect()}  # one row a pair
+    room, held, spread = GRID_CELLS * setting(spark, SMALL_ROWS), [], []
+    plain = all(isinstance(df.schema[c].dataType, PLAIN) for c in kept)
+    for i in sorted(range(len(stems)), key=lambda i: (sizes.get(i, 0), i)):
+        room -= sizes.get(i, 0)
+        (held if room >= 0 and plain else spread).append(i)
+    found = df
+    if spread:
+        named = F.element_at(F.array(*[F.lit(s) for s in stems]), F.col("_pair") + 1).alias("_pair")
+        apart = table.filter(F.col("_pair").isin(spread)).select(named, "_key", *targets).dropDuplicates(["_pair", "_key"])
+        keys = {stems[i]: fc.text_key(*[F.col(c) for c in pairs[stems[i]]]) for i in spread}
+        found = attach_many(df, Fitted(stored(apart, "pairs"), False), "_pair", "_key", keys, "inner")
+    joined = {f"{stems[i]}_{t}": F.col(f"`_got_{stems[i]}`").getField(t).alias(f"{stems[i]}_{t}") for i in spread for t in targets}
+    names = [f"{stem}_{t}" for stem in stems for t in targets]
+    if not held:
+        return found.select(*kept, *[joined[n] for n in names])
+    looked_up = {i: pairs[stems[i]] for i in sorted(held)}
+    small = table.filter(F.col("_pair").isin(held)).select("_pair", "_entry", "_group", *targets).toArrow()
+    grids, there = spark.sparkContext.broadcast(pair_tables.grids(small, looked_up, targets)), set(joined)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pair_tables.find_pairs(batches, grids.value, kept, names, there)
+
+    rows = found.select(*kept, *joined.values(), *_texts(list(dict.fromkeys(c for pair in looked_up.values() for c in pair))))
+    # in the order of the results: a step over so many columns would be too long for Java's compiler
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(n, T.DoubleType()) for n in names]]))
 
 
 # ---------------------------------------------------------------- code sizes

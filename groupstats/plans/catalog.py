@@ -252,12 +252,11 @@ def target_encode_many(spark, folder):
         *[c.cast("string").alias(n) for n, c in more.items()],
     )
     df = stored(df, "pairs")  # read by the fit and by the lookups
-    out = encode.encode_pairs(
+    return encode.encode_pairs(
         df, ["o_orderpriority", "l_linestatus", "flag_n", "y", "m"],
         ["p_type", "l_returnflag", "brand_n", "p_name", "size", "line", "supplier", "begin"], ["is_place", "price_n"],
+        keep=ID, finish=lambda value: rounded(value, 4),
     )
-    wanted = out.columns[len(df.columns):]
-    return _round(out.select(*ID, *wanted), wanted, 4)
 
 
 CODES = ["l_returnflag", "flag_n", "p_type", "brand_n", "p_name"]
