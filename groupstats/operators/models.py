@@ -32,6 +32,8 @@ UNTIL_WORSE = {"maxIter": 20_000, "validationTol": 1e-6}
 WEIGHT = "_weight"
 #: Merged rows there should be at least: without and with trees that draw rows, which then draw lots of rows.
 LOTS, DRAWN_LOTS = 1 << 16, 1 << 20
+#: Rows of a task in fits of many rounds: starting smaller ones, some seven times a round, takes longer than they run.
+ROWS_A_TASK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -220,15 +222,19 @@ def fit_boosting(train: DataFrame, job: Boosting, valid: DataFrame | None = None
     if valid is not None:
         mark = {"validationIndicatorCol": "_is_valid"}
         rows = train.withColumn("_is_valid", F.lit(False)).unionByName(valid.withColumn("_is_valid", F.lit(True)))
-    if not made.cells:
-        return Pipeline(stages=[*made.stages, made.assembler(), job.learner(**mark)]).fit(rows)
-    merged = made.assembler().transform(job.rows(rows, made, list(mark.values()), job.draws_rows())).persist()
+    if not made.cells and valid is None:
+        return Pipeline(stages=[*made.stages, made.assembler(), job.learner()]).fit(rows)
+    vectors = made.assembler().transform(job.rows(rows, made, list(mark.values()), job.draws_rows()))
+    if valid is not None:
+        vectors = vectors.select("_features", job.label, *mark.values(), *([WEIGHT] if made.cells else []))
+    vectors = vectors.persist()
     try:
-        learned = merged.filter(~F.col("_is_valid")) if mark else merged
-        weight = learned.agg(F.sum(WEIGHT)).first()[0]
-        return PipelineModel([*made.stages, made.assembler(), job.learner(weight, **mark).fit(merged)])
+        learned = vectors.filter(~F.col("_is_valid")) if mark else vectors
+        weight = learned.agg(F.sum(WEIGHT)).first()[0] if made.cells else None
+        few = vectors if valid is None else vectors.coalesce(-(-vectors.count() // ROWS_A_TASK) or 1)
+        return PipelineModel([*made.stages, made.assembler(), job.learner(weight, **mark).fit(few)])
     finally:
-        merged.unpersist()
+        vectors.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "pred") -> DataFrame:

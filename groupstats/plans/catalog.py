@@ -881,7 +881,7 @@ def gbt_nominal(spark, folder):
 def gbt_folds(spark, folder):
     df = splits.append_group_fold(_model_rows(spark, folder), GROUP, 5)
     job = models.Boosting(MODEL_FEATURES, "label", params=models.UNTIL_WORSE)
-    scores, _ = models.fit_folds(df, job, 5, GROUP, ENTRY)
+    scores, _ = models.fit_folds(df, job, 5, GROUP, ENTRY, parallelism=5)
     return scores
 
 
